@@ -91,10 +91,10 @@ urls AS (SELECT DISTINCT url FROM raw UNION SELECT src FROM edges UNION SELECT d
 rests AS (SELECT url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM urls),
 parts AS (
     SELECT url, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '(?s)^[^?#]*(\?[^#]*)', 1) AS query FROM rests),
-rules(at, starts, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+rules(place, starts, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 own AS (
-    SELECT p.url, arg_max(r.at || r.starts, length(r.at || r.starts)) AS rule, arg_max(r.verdict, length(r.at || r.starts)) AS own
-    FROM parts p JOIN rules r ON (p.host = r.at OR ends_with(p.host, '.' || r.at)) AND starts_with(p.path, r.starts) GROUP BY p.url),
+    SELECT p.url, arg_max(r.place || r.starts, length(r.place || r.starts)) AS rule, arg_max(r.verdict, length(r.place || r.starts)) AS own
+    FROM parts p JOIN rules r ON (p.host = r.place OR ends_with(p.host, '.' || r.place)) AND starts_with(p.path, r.starts) GROUP BY p.url),
 nodes AS (SELECT p.url, p.host || ' ' || p.path || ' ' || p.query AS node FROM parts p WHERE p.url IS NOT NULL),
 steps AS (
     SELECT a.node AS u, b.node AS v FROM edges e JOIN nodes a ON a.url = e.src JOIN nodes b ON b.url = e.dst
