@@ -9,6 +9,7 @@ only (document, piece, length) rows travel.
 from __future__ import annotations
 
 import bisect
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -22,32 +23,111 @@ from strandloom.plans.runtime import cut
 
 #: Items that one task packs at once; more are packed in several lots.
 LOT = 200_000
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Distinct words, and words with marks behind them, whose ids a worker remembers.
+REMEMBERED, CORES = 400_000, 1_000_000
+#: Bytes of text whose new words are encoded in one call, about.
+GROUP = 1 << 20
 _SCHEMA = "doc_id {id}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"
 
 
 class WordTokenizer:
     """Ids of whole texts, word by word.
 
-    The vocabulary's splitting never joins characters across white space, so a text's ids are those of its
-    words in order; words repeat, and the ids of a word are looked up instead of made again.
+    The vocabulary's splitting never joins characters across white space, nor a letter or digit with the
+    marks behind it, and is blind to case; so a text's ids are those of its words and marks in order. Ids of
+    a word are looked up; the new words of many texts are encoded in one call, with a separator between
+    them whose id nothing else has.
     """
 
+    MARKS = b"!#$%&*,.:;?|"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level vocabularies write these bytes as themselves
+        rest = (b for b in range(256) if b not in plain)
+        self.letters = {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.separator = self._ids("\x00")
+        assert len(self.separator) == 1
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _encode(self, new: list[bytes]) -> None:
+        cores, split, pack = self.cores, self.model.tokenize, struct.pack
+        plain, odd = [], []
+        for w in new:
+            s = w.decode()
+            if s.isalpha() and (s.isascii() or self._latin(s)):
+                # letters of one case and form: normalising and splitting leave them whole
+                ids = [t.id for t in split(s if s.isascii() else s.lower().encode().decode("latin-1").translate(self.letters))]
+                cores[w] = pack(f"<{len(ids)}I", *ids)
+            else:
+                (odd if "\x00" in s or "<|" in s else plain).append(w)
+        for w in odd:
+            ids = self._ids(w.decode())
+            cores[w] = pack(f"<{len(ids)}I", *ids)
+        if plain:
+            ids = np.array(self._ids(" \x00 ".join([w.decode() for w in plain])), "<u4")
+            ends = np.append(np.flatnonzero(ids == self.separator[0]), len(ids))
+            assert len(ends) == len(plain)
+            data, at = ids.tobytes(), 0
+            for w, end in zip(plain, (ends * 4).tolist(), strict=True):
+                cores[w] = data[at:end]
+                at = end + 4
+
+    @staticmethod
+    def _latin(s: str) -> bool:
+        """Composed Latin letters, which have one lower case each."""
+        low = s.lower()
+        return max(s) < "\u0250" and len(low) == len(s) and low.isalpha() and max(low) < "\u0250"
+
+    def _learn(self, tokens: set[bytes]) -> None:
+        parts, marks = {}, self.MARKS
+        for t in tokens:
+            core = t.rstrip(marks)
+            if core and len(core) < len(t) and b"<|" not in t and (core[-1:].isalnum() or core.decode()[-1].isalpha()):
+                parts[t] = (core, t[len(core) :])
+            else:
+                parts[t] = (t,)
+        new = list({c for p in parts.values() for c in p if c not in self.cores})
+        if len(self.cores) + len(new) > CORES:
+            self.cores.clear()
+            new = list({c for p in parts.values() for c in p})
+        self._encode(new)
+        cores = self.cores
+        for t, p in parts.items():
+            self.words[t] = cores[p[0]] if len(p) == 1 else cores[p[0]] + cores[p[1]]
+
+    def many(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        distinct = set().union(*split)
+        new = distinct - self.words.keys()
+        if len(self.words) + len(new) > REMEMBERED:
+            self.words.clear()
+            new = distinct
+        if new:
+            self._learn(new)
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, s)) for s in split]
 
     def __call__(self, data: bytes) -> np.ndarray:
-        tokens, seen = data.split(), self.seen
-        new = list({t for t in tokens if t not in seen})
-        if len(seen) + len(new) > REMEMBERED:
-            seen.clear()
-            new = list(set(tokens))
-        for t, e in zip(new, self.tokenizer.encode_batch([t.decode() for t in new], add_special_tokens=False), strict=True) if new else ():
-            seen[t] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([seen[t] for t in tokens]), "<u4")
+        return np.frombuffer(self.many([data])[0], "<u4")
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def _tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process, with what it remembers."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +159,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 def _local(path: str, capacity: int, end_id: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, pid, used = WordTokenizer(path), TaskContext.get().partitionId() << 32, 0
+        tokenizer, pid, used, end = _tokenizer(path), TaskContext.get().partitionId() << 32, 0, np.array([end_id], "<u4").tobytes()
         rows: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
@@ -95,12 +175,24 @@ def _local(path: str, capacity: int, end_id: int, id_type: pa.DataType):
             rows.clear()
             return out
 
+        def take(docs: list, texts: list[bytes]) -> None:
+            for doc, data in zip(docs, tokenizer.many(texts), strict=True):
+                data += end
+                n = len(data) // 4
+                for piece, start in enumerate(range(0, n, capacity)):
+                    part = data[4 * start : 4 * (start + capacity)]
+                    rows.append((doc, piece, start, len(part) // 4, zlib.crc32(part)))
+
         for batch in batches:
+            docs, texts, size = [], [], 0
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(ids_of(data or b""), np.uint32(end_id)).astype("<u4")
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    rows.append((doc, piece, start, len(part), zlib.crc32(part.tobytes())))
+                docs.append(doc)
+                texts.append(data or b"")
+                size += len(texts[-1])
+                if size >= GROUP:
+                    take(docs, texts)
+                    docs, texts, size = [], [], 0
+            take(docs, texts)
             if len(rows) >= LOT:
                 yield flush()
         if rows:
