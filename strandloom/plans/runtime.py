@@ -37,8 +37,14 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that Python workers get at once: texts are long, and small batches keep workers small.
+ARROW_ROWS = "1000"
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from the driver's source folder."""
+    """Let Python workers import this package from the driver's source folder, and keep their batches small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
