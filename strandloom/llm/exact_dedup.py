@@ -25,9 +25,10 @@ BLOCK, OWNED = 1 << 19, 1 << 20
 FILTER_BITS = 1 << 28
 
 
-def normalised(text: str) -> Column:
+def normalised(text: str | Column) -> Column:
     """White space runs as one space; null as empty."""
-    return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    text = F.col(text) if isinstance(text, str) else text
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
 def golomb_encode(values: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -159,16 +160,31 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     shuffled = texts.select("text", F.xxhash64("text").alias("h")).where(member("h"))
     verified = shuffled.groupBy("h", "text").agg(F.count("*").alias("n")).where("n > 1").select(F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "n")
     firsts = digest.where(member("h")).groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
-    groups = verified.join(firsts, "sha").select("sha", "n", "first.id", "first.row").toDF("sha", "n", "keep", "first_row")
+    # written first, so that the join below stands on plain exchanges and a hot group's rows can be split
+    groups = cut(verified.join(firsts, "sha").select("sha", "n", "first.id", "first.row").toDF("sha", "n", "keep", "first_row"), "groups")
     named = digest.join(groups, "sha", "left")
     single = F.col("n").isNull()
     return named.select(F.col("id").alias(id), F.when(single, F.col("id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), (single | (F.col("row") == F.col("first_row"))).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
+def without(docs: DataFrame, gone: DataFrame, key: Column, same) -> DataFrame:
+    """The rows of ``docs`` that ``same(docs)`` joins with no row of ``gone``, a table with the hash ``h`` of ``key``.
+
+    Rows whose hash the filter turns down pass as they are; only the others are shuffled.
+    """
+    member = membership_filter(gone.select("h").distinct())
+    if member is None:
+        return docs
+    some = docs.where(member(key))
+    return docs.where(~member(key)).union(some.join(gone, same(some), "left_anti"))
+
+
 def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns.
 
     Rows that repeat both id and normalised text count as one document and stay together if it stays.
     """
-    gone = cut(exact_groups(docs, id, text).where("not kept").select(F.col(id).alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"), F.col("keep_id").alias("_keep_")).where("not (_gone_id <=> _keep_)").drop("_keep_").distinct(), "gone")
-    return docs.join(gone, docs[id].eqNullSafe(gone["_gone_id"]) & (F.sha2(normalised(text).cast("binary"), 256) == gone["_gone_sha"]), "left_anti")
+    sha = lambda d: F.sha2(normalised(d[text]).cast("binary"), 256)
+    gone = exact_groups(docs, id, text).where("not kept").select(F.col(id).alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"), F.col("keep_id").alias("_keep_")).where("not (_gone_id <=> _keep_)").drop("_keep_").distinct()
+    gone = cut(gone.withColumn("h", F.xxhash64("_gone_id")), "gone")
+    return without(docs, gone, F.xxhash64(F.col(id)), lambda d: d[id].eqNullSafe(gone["_gone_id"]) & (sha(d) == gone["_gone_sha"]))

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.exact_dedup import membership_filter, without
 from strandloom.operators.components import connected_components
 from strandloom.plans.runtime import cut
 
@@ -78,12 +79,12 @@ def shingle_fingerprint(k: int) -> Callable[[bytes], tuple[int, ...]]:
 
 
 def wide_signature(k: int) -> Callable[[bytes], tuple[int, ...]]:
-    """One fingerprint of the distinct words, for the tables, and 256 bits of the k-word shingles."""
+    """One fingerprint of the distinct words, for the tables, and 128 bits of the k-word shingles."""
 
     def of(data: bytes) -> tuple[int, ...]:
         tokens = words(data)
         h = shingle_hashes(tokens, k)
-        return (majority(shingle_hashes(sorted(set(tokens)), 1)), majority(h), *(majority(respread(h, s)) for s in (1, 2, 3)))
+        return (majority(shingle_hashes(sorted(set(tokens)), 1)), majority(h), majority(respread(h, 1)))
 
     return of
 
@@ -132,6 +133,28 @@ def forest(fp: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> l
     return edges
 
 
+def nearest_tree(fp: np.ndarray, sig: np.ndarray, radius: int, sig_most: int) -> list[tuple[int, int]]:
+    """Minimum spanning forest (Prim) by signature distance of the graph of links.
+
+    Whatever stricter distance is asked of its edges later, they join what all links within it would join.
+    """
+    n, far = len(fp), 1 << 20
+    edges: list[tuple[int, int]] = []
+    left = np.arange(n)
+    best, via = np.full(n, far), np.full(n, -1)
+    while len(left):
+        k = int(best[left].argmin())
+        i = int(left[k])
+        left = np.delete(left, k)
+        if best[i] < far:
+            edges.append((int(via[i]), i))
+        d = np.bitwise_count(sig[i] ^ sig[left]).sum(1, dtype=np.int64)
+        ok = (np.bitwise_count(fp[i] ^ fp[left]) <= radius) & (d <= sig_most) & (d < best[left])
+        at = left[ok]
+        best[at], via[at] = d[ok], i
+    return edges
+
+
 def _runs(n_sig: int, radius: int, sig_most: int, run_most: int, last: bool):
     """mapInArrow body over rows (t, key, fp, node, sig...) sorted by (t, key)."""
 
@@ -146,13 +169,8 @@ def _runs(n_sig: int, radius: int, sig_most: int, run_most: int, last: bool):
         def link(m: np.ndarray) -> np.ndarray:
             fp, sig = m[:, 2].view(np.uint64), m[:, 4:].view(np.uint64)
 
-            def near(i: int, js: np.ndarray) -> np.ndarray:
-                ok = np.bitwise_count(fp[i] ^ fp[js]) <= radius
-                if n_sig and ok.any():
-                    ok &= np.bitwise_count(sig[i] ^ sig[js]).sum(1) <= sig_most
-                return ok
-
-            e = np.array(forest(fp, near), np.int64).reshape(-1, 2)
+            found = nearest_tree(fp, sig, radius, sig_most) if n_sig else forest(fp, lambda i, js: np.bitwise_count(fp[i] ^ fp[js]) <= radius)
+            e = np.array(found, np.int64).reshape(-1, 2)
             rows = np.zeros((len(e), len(names)), np.int64)
             rows[:, 0] = -1
             rows[:, 1], rows[:, 2] = m[e[:, 0], 3], m[e[:, 1], 3]
@@ -219,12 +237,16 @@ def links(points: DataFrame, radius: int, n_sig: int = 0, sig_most: int = 0, run
     sig = [f"s{i}" for i in range(n_sig)]
     schema = "t long, a long, b long, fp long" + "".join(f", {s} long" for s in sig)
     tables = dict(enumerate(covering_masks(radius)))
-    rows = points.select(F.explode(F.array(*(F.struct(F.lit(t).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in tables.items()))).alias("x"), "fp", "node", *sig).select("x.t", "x.key", "fp", "node", *sig)
+    rows = points.select(F.explode(F.expr(f"sequence(0L, {len(tables) - 1}L)")).alias("t"), "fp", "node", *sig)
     found = []
     while True:
         free = 64 - min(m.bit_count() for m in tables.values())
         last = free <= FREE
-        met = cut(rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_runs(n_sig, radius, sig_most, run_most, last), schema), "simhash")
+        # a row's key follows from its table and fingerprint, so it is made on both sides and does not travel
+        masks = ", ".join(f"{signed(tables.get(t, 0))}L" for t in range(max(tables) + 1))
+        key = F.col("fp").bitwiseAND(F.expr(f"element_at(array({masks}), cast(t + 1 as int))"))
+        dealt = rows.repartition("t", key).select("t", key.alias("key"), "fp", "node", *sig)
+        met = cut(dealt.sortWithinPartitions("t", "key").mapInArrow(_runs(n_sig, radius, sig_most, run_most, last), schema), "simhash")
         found.append(met.where("t = -1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
         again = met.where("t >= 0")
         hot = [] if last else [r.t for r in again.select("t").distinct().collect()]  # table numbers only
@@ -232,9 +254,8 @@ def links(points: DataFrame, radius: int, n_sig: int = 0, sig_most: int = 0, run
             break
         parts = {t: finer(tables[t], radius) for t in hot}
         tables = {t * (radius + 1) + j: m for t, ms in parts.items() for j, m in enumerate(ms)}
-        # the masks of a table, looked up by its number: as many as tables exist, whatever the data
-        lookup = points.sparkSession.createDataFrame([(t, t * (radius + 1) + j, signed(m)) for t, ms in parts.items() for j, m in enumerate(ms)], "t long, t2 long, mask long")
-        rows = again.join(F.broadcast(lookup), "t").select(F.col("t2").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", F.col("a").alias("node"), *sig)
+        finer_of = F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda j: F.col("t") * (radius + 1) + j)
+        rows = again.select(F.explode(finer_of).alias("t"), "fp", F.col("a").alias("node"), *sig)
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
@@ -260,26 +281,60 @@ def simhash_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     return fps.join(named, "fp").select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similarity_bits(similarity: float, bits: int = 256) -> int:
-    """Differing bits of a SimHash that shingle sets of this Jaccard similarity show on average."""
-    return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
+def similarity_bits(similarity: float, bits: int = 128, deviations: float = 2.5) -> int:
+    """Differing bits of a SimHash that shingle sets of this Jaccard similarity show, but for the last few of a hundred."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (src, dst) whose texts (node, text) have this Jaccard similarity of distinct shingles, exactly."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [np.unique(shingle_hashes(words(t), shingle_words)).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["node", "set"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                m, n = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(m, n, assume_unique=True))
+                keep.append(both >= similarity * (len(m) + len(n) - both))
+            yield b.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    shingles = cut(texts.select("node", F.col("text").cast("binary").alias("b")).mapInArrow(sets, "node long, set binary"), "shingles")
+    met = pairs.join(shingles.toDF("src", "x"), "src").join(shingles.toDF("dst", "y"), "dst")
+    return met.select("src", "dst", "x", "y").mapInArrow(compare, "src long, dst long")
 
 
-def near_duplicate_filter(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 5) -> DataFrame:
+def near_duplicate_filter(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays.
 
-    Candidates meet by covering tables over the SimHash of the distinct words (``radius``); a link also
-    needs a 256-bit SimHash of the ``shingle_words``-word shingles, repeats included, within the distance
-    that Jaccard ``similarity`` has on average. Groups are the components of all links. Texts with no word
-    are never near-duplicates of each other and stay. Rows that repeat both id and text stay or go
-    together; null ids come last. Columns are those of ``docs``.
+    Candidates meet by covering tables over the SimHash of the distinct words (``radius``) if a 128-bit
+    SimHash of the ``shingle_words``-word shingles allows for the similarity; of those that meet, the tree of
+    nearest pairs is compared exactly, by the Jaccard similarity of distinct shingles. Groups are the
+    components of the pairs that reach ``similarity``. Texts with no word are never near-duplicates of each
+    other and stay. Rows that repeat both id and text stay or go together; null ids come last. Columns are
+    those of ``docs``.
     """
-    names = ["fp", "s0", "s1", "s2", "s3"]
+    names = ["fp", "s0", "s1"]
     tagged = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     sig = cut(signatures(tagged, ["id", "th"], "text", wide_signature(shingle_words), names).select("id", "th", F.xxhash64(*names).alias("node"), *names), "sig")
     points = sig.select("node", *names).distinct()
-    near = connected_components(links(points, radius, 4, similarity_bits(similarity)))
-    grouped = sig.join(near, "node", "left").select("id", "th", F.coalesce("component", "node").alias("root"))
+    pairs = cut(links(points, radius, 2, similarity_bits(similarity)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "pairs")
+    # one text for each end of a pair; a filter of bounded size lets few other texts through
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    shown = cut(ends.join(sig.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th")).alias("k")), "node").select("node", F.xxhash64("k.id", "k.th").alias("h")), "ends")
+    member = membership_filter(shown.select("h").distinct())
+    if member is None:
+        grouped = sig.select("id", "th", F.col("node").alias("root"))
+    else:
+        keyed = tagged.withColumn("h", F.xxhash64("id", "th")).where(member("h")).select("h", "text")
+        texts = keyed.join(shown, "h").select("node", "text").dropDuplicates(["node"])
+        near = connected_components(similar_pairs(pairs, texts, shingle_words, similarity))
+        grouped = sig.join(near, "node", "left").select("id", "th", F.coalesce("component", "node").alias("root"))
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th")).alias("k"), F.count("*").alias("rows")).where("rows > 1")
-    gone = cut(grouped.join(first, "root").where("not (id <=> k.id and th = k.th)").select(F.col("id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct(), "gone")
-    return docs.join(gone, docs[id].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs[text]) == gone["_gone_th"]), "left_anti")
+    gone = cut(grouped.join(first, "root").where("not (id <=> k.id and th = k.th)").select(F.xxhash64("id", "th").alias("h"), F.col("id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct(), "gone")
+    return without(docs, gone, F.xxhash64(F.col(id), F.xxhash64(F.col(text))), lambda d: d[id].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(d[text]) == gone["_gone_th"]))
