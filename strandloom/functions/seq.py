@@ -54,6 +54,17 @@ def windows(run: Column, w: int) -> Column:
     return F.when(F.length(run) >= w, F.transform(starts, lambda i: F.substring(run, i, F.lit(w)))).otherwise(F.array().cast("array<string>"))
 
 
+#: Windows that are cut from one piece of a text: a substring costs as many steps as it starts from the left.
+PIECE = 128
+
+
+def pieces(text: Column, w: int) -> Column:
+    """A long text as pieces that overlap by ``w`` - 1, so that each window of ``w`` characters is in one of them."""
+    count = F.floor((F.length(text) - w) / PIECE).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), count), lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE + w - 1)))
+    return F.when(F.length(text) >= w, cut).otherwise(F.array().cast("array<string>"))
+
+
 def cigar_overlap(cigar: Column) -> Column:
     """Sum of the M counts; ``*`` is 0; null where the CIGAR is malformed or the sum leaves 32 bits."""
     total = F.aggregate(F.regexp_extract_all(cigar, F.lit(r"(\d+)M"), F.lit(1)), F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x.cast("decimal(20,0)")).cast("decimal(38,0)"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandloom.functions.seq import canon, check_k, is_reverse
+from strandloom.functions.seq import PIECE, canon, check_k, is_reverse, pieces, windows
 from strandloom.operators.dbg import DeBruijn, from_paths, spelled_chunks
 from strandloom.operators.model import DeBruijnError, Graph, dense_rank_of
 from strandloom.operators.unitigs import Unitigs, compact
@@ -41,7 +41,8 @@ def _with_paths(g: Graph, k: int, segments: DataFrame, walks: DataFrame) -> Grap
 def path_windows(g: Graph, k: int) -> DataFrame:
     """``(path_idx, at, w)``: every gap-free k-mer of every path with its base offset."""
     text = spelled_chunks(g, k - 1).withColumn("t", F.upper(F.concat("ctx", "text"))).withColumn("from", F.col("start") - F.length("ctx"))
-    cuts = text.where(F.length("t") >= k).select("path_idx", "from", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("t") - (k - 1)), lambda i: F.substring("t", i, F.lit(k)))).alias("i", "w"))
+    parts = text.select("path_idx", "from", F.posexplode(pieces(F.col("t"), k)).alias("j", "part"))
+    cuts = parts.select("path_idx", (F.col("from") + F.col("j") * PIECE).alias("from"), F.posexplode(windows(F.col("part"), k)).alias("i", "w"))
     return cuts.where(F.length(F.translate("w", "ACGT", "")) == 0).select("path_idx", (F.col("from") + F.col("i")).alias("at"), "w")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandloom.functions.seq import canon, check_k, is_reverse, oriented, rc, runs, windows
+from strandloom.functions.seq import canon, check_k, is_reverse, oriented, pieces, rc, runs, windows
 from strandloom.operators.model import Graph, dense_rank_of
 from strandloom.plans.runtime import cut
 
@@ -94,7 +94,8 @@ def words_of(run_table: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     Only (k+1)-mers are cut out of the runs; the k-mers are their two halves, taken after the distinct, and
     runs of exactly k bases.
     """
-    edges = cut(run_table.where(F.length("run") > k).select(F.explode(windows(F.col("run"), k + 1)).alias("w")).select(canon(F.col("w")).alias("kmer1")).distinct(), "kmer1")
+    parts = run_table.where(F.length("run") > k).select(F.explode(pieces(F.col("run"), k + 1)).alias("part"))
+    edges = cut(parts.select(F.explode(windows(F.col("part"), k + 1)).alias("w")).select(canon(F.col("w")).alias("kmer1")).distinct(), "kmer1")
     halves = edges.select(F.explode(F.array(F.substring("kmer1", 1, k), F.substring("kmer1", 2, k))).alias("w"))
     short = run_table.where(F.length("run") == k).select(F.col("run").alias("w"))
     nodes = halves.union(short).select(canon(F.col("w")).alias("kmer")).distinct()
