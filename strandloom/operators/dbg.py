@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -18,16 +18,29 @@ CHUNK = 1 << 14
 BLOCK = 1 << 12
 
 
-@dataclass(frozen=True)
 class DeBruijn:
-    """nodes(node_id, kmer) and edges(edge_idx, kmer1, from_id, from_rev, to_id, to_rev, overlap), ids by sorted rank."""
+    """nodes(node_id, kmer) and edges(edge_idx, kmer1, from_id, from_rev, to_id, to_rev, overlap), ids by sorted rank.
 
-    k: int
-    nodes: DataFrame
-    edges: DataFrame
+    Edges are numbered and looked up when they are first asked for.
+    """
+
+    def __init__(self, k: int, nodes: DataFrame, words: DataFrame):
+        self.k, self._words = k, words
+        self.nodes = cut(dense_rank_of(nodes, "kmer", "node_id").select("node_id", "kmer"), "dbgnodes")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """Both ends of each (k+1)-mer, looked up by canonical form."""
+        k = self.k
+        ends = dense_rank_of(self._words, "kmer1", "edge_idx").withColumns({"a": F.substring("kmer1", 1, k), "b": F.substring("kmer1", 2, k)})
+        keyed = ends.select("edge_idx", "kmer1", canon(F.col("a")).alias("ka"), is_reverse(F.col("a")).alias("from_rev"), canon(F.col("b")).alias("kb"), is_reverse(F.col("b")).alias("to_rev"))
+        one = self.nodes.select(F.col("kmer").alias("ka"), F.col("node_id").alias("from_id"))
+        two = self.nodes.select(F.col("kmer").alias("kb"), F.col("node_id").alias("to_id"))
+        met = keyed.join(one, "ka").join(two, "kb")
+        return cut(met.select("edge_idx", "kmer1", "from_id", "from_rev", "to_id", "to_rev", F.lit(k - 1).cast("long").alias("overlap")), "dbgedges")
 
     def counts(self) -> DataFrame:
-        return self.nodes.agg(F.count("*").alias("nodes")).crossJoin(self.edges.agg(F.count("*").alias("edges")))
+        return self.nodes.agg(F.count("*").alias("nodes")).crossJoin(self._words.agg(F.count("*").alias("edges")))
 
     def graph(self) -> Graph:
         """Nodes without names, edges with overlap k - 1, no paths."""
@@ -106,21 +119,10 @@ def path_runs(g: Graph, k: int) -> DataFrame:
     return spelled_chunks(g, k).select(F.explode(runs(F.concat("ctx", "text"))).alias("run")).where(F.length("run") >= k)
 
 
-def numbered(k: int, nodes: DataFrame, edges: DataFrame) -> DeBruijn:
-    """Ids by rank, and both ends of each (k+1)-mer looked up by canonical form."""
-    ranked = cut(dense_rank_of(nodes, "kmer", "node_id").select("node_id", "kmer"), "dbgnodes")
-    ends = dense_rank_of(edges, "kmer1", "edge_idx").withColumns({"a": F.substring("kmer1", 1, k), "b": F.substring("kmer1", 2, k)})
-    keyed = ends.select("edge_idx", "kmer1", canon(F.col("a")).alias("ka"), is_reverse(F.col("a")).alias("from_rev"), canon(F.col("b")).alias("kb"), is_reverse(F.col("b")).alias("to_rev"))
-    one = ranked.select(F.col("kmer").alias("ka"), F.col("node_id").alias("from_id"))
-    two = ranked.select(F.col("kmer").alias("kb"), F.col("node_id").alias("to_id"))
-    met = keyed.join(one, "ka").join(two, "kb")
-    return DeBruijn(k, ranked, cut(met.select("edge_idx", "kmer1", "from_id", "from_rev", "to_id", "to_rev", F.lit(k - 1).cast("long").alias("overlap")), "dbgedges"))
-
-
 def from_paths(g: Graph, k: int) -> DeBruijn:
     """The graph of all k-mers that the paths spell."""
     check_k(k)
-    return numbered(k, *words_of(path_runs(g, k), k))
+    return DeBruijn(k, *words_of(path_runs(g, k), k))
 
 
 def arcs(edges: DataFrame) -> DataFrame:
@@ -162,4 +164,4 @@ def topology_runs(g: Graph, k: int) -> DataFrame:
 def from_topology(g: Graph, k: int) -> DeBruijn:
     """The graph of all k-mers that any walk spells, whether a path takes it or not."""
     check_k(k)
-    return numbered(k, *words_of(topology_runs(g, k), k))
+    return DeBruijn(k, *words_of(topology_runs(g, k), k))
