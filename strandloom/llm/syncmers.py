@@ -12,7 +12,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,23 +124,26 @@ def document_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text
     rows of one id share a range.
     """
     spark = docs.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.select(F.col(id).alias("i")).dtypes)["i"]
     rows = docs.select(F.col(id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     points = rows.agg(F.percentile_approx(F.col("i"), [x / ranges for x in range(1, ranges)] or [0.5], 10_000).alias("p")).first()["p"] or []
-    splits = np.array(sorted(set(points)), np.int64)
-
-    @F.pandas_udf("int")
-    def range_of(i: pd.Series) -> pd.Series:
-        got = np.searchsorted(splits, i.fillna(0).to_numpy(np.int64), side="right")
-        return pd.Series(np.where(i.isna(), len(splits) + 1, got).astype(np.int32))
+    splits = sorted(set(points))
+    n = len(splits)
+    if n:
+        # how many splits an id has reached: a binary search by falling powers of two
+        jumps, places = ", ".join(str(1 << k) for k in reversed(range(n.bit_length()))), ", ".join(f"cast({int(x)} as bigint)" for x in splits)
+        reached = F.expr(f"aggregate(array({jumps}), 0, (p, s) -> if(p + s <= {n} and element_at(array({places}), least(p + s, {n})) <= i, p + s, p))")
+    else:
+        reached = F.lit(0)
+    range_of = F.when(F.col("i").isNull(), n + 1).otherwise(reached).cast("int")
 
     # at most one row for each range comes to the driver
-    firsts = rows.select(range_of("i").alias("rid"), "i", "th").groupBy("rid").agg(F.min(F.struct("i", "th")).alias("f")).orderBy("rid").collect()
+    firsts = rows.select(range_of.alias("rid"), "i", "th").groupBy("rid").agg(F.min(F.struct("i", "th")).alias("f")).orderBy("rid").collect()
     used = [r["rid"] for r in firsts]
     schema = f"i {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     heads = spark.createDataFrame([(r["f"]["i"], r["f"]["th"], used[k - 1]) for k, r in enumerate(firsts)], f"fi {kind}, fth long, previous int")
-    met = rows.withColumn("rid", range_of("i")).join(F.broadcast(heads), F.col("i").eqNullSafe(F.col("fi")) & (F.col("th") == F.col("fth")), "left")
+    met = rows.withColumn("rid", range_of).join(F.broadcast(heads), F.col("i").eqNullSafe(F.col("fi")) & (F.col("th") == F.col("fth")), "left")
     sent = met.select(F.explode(F.filter(F.array(F.struct(F.col("rid").alias("rid"), F.lit(0).alias("tail")), F.struct(F.col("previous").alias("rid"), F.lit(1).alias("tail"))), lambda x: x["rid"].isNotNull())).alias("x"), "i", "th", "text").select("x.rid", "x.tail", "i", "th", "text")
     dealt = sent.repartition("rid").sortWithinPartitions("rid", "tail", F.col("i").asc_nulls_last(), "th").select("rid", "tail", "i", "text")
     out = dealt.mapInArrow(_pairs([x.split()[0] for x in schema.split(", ")]), schema)
