@@ -124,7 +124,7 @@ def document_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text
     rows of one id share a range.
     """
     spark = docs.sparkSession
-    ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # several in a task, so that tasks are alike
     kind = dict(docs.select(F.col(id).alias("i")).dtypes)["i"]
     rows = docs.select(F.col(id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     points = rows.agg(F.percentile_approx(F.col("i"), [x / ranges for x in range(1, ranges)] or [0.5], 10_000).alias("p")).first()["p"] or []
