@@ -19,7 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
+from strandloom.llm import overlap
 from strandloom.llm.exact_dedup import membership_filter, without
 from strandloom.operators.components import connected_components
 from strandloom.plans.runtime import cut
@@ -29,6 +31,8 @@ SEED = 42
 RUN = 2000
 #: Bits that the finest tables leave free, at most.
 FREE = 14
+#: Texts that the order of shingles is estimated on, and shingles that count as common, at most.
+SAMPLE, COMMON = 20_000, 1 << 18
 _LANE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _M64 = (1 << 64) - 1
 
@@ -309,32 +313,88 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle_words: int, simila
     return met.select("src", "dst", "x", "y").mapInArrow(compare, "src long, dst long")
 
 
-def near_duplicate_filter(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:
+def common_shingles(texts: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of shingles that several of a bounded sample of texts hold.
+
+    They only order the shingles: whatever the sample holds, the same pairs are found.
+    """
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(words(t), shingle_words)) for t in b.column(0).to_pylist()]
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    drawn = texts.where(F.pmod("th", F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col("text").cast("binary").alias("b"))
+    found = drawn.mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def shingle_prefixes(texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """``(id, th, node, n, prefix)``: node names the set of distinct shingles, n is its size."""
+    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, shingle_words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(words(t), shingle_words)) for t in b.column(2).to_pylist()]
+            nodes = [signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets]
+            firsts = [overlap.prefix(s, *common.value, similarity).view(np.int64) for s in sets]
+            cols = [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "th", "node", "n", "prefix"])
+
+    schema = texts.select("id", "th").schema.add("node", "long").add("n", "long").add("prefix", ArrayType(LongType()))
+    return texts.select("id", "th", F.col("text").cast("binary").alias("_bytes_")).mapInArrow(run, schema)
+
+
+def near_duplicate_filter(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays.
 
-    Candidates meet by covering tables over the SimHash of the distinct words (``radius``) if a 128-bit
-    SimHash of the ``shingle_words``-word shingles allows for the similarity; of those that meet, the tree of
-    nearest pairs is compared exactly, by the Jaccard similarity of distinct shingles. Groups are the
-    components of the pairs that reach ``similarity``. Texts with no word are never near-duplicates of each
-    other and stay. Rows that repeat both id and text stay or go together; null ids come last. Columns are
-    those of ``docs``.
+    Groups are the components of all pairs whose distinct ``shingle_words``-word shingles have a Jaccard
+    ``similarity`` or more. Candidates meet by the prefixes of their sets (see ``overlap``), which misses no
+    such pair, and are compared exactly. Texts with no word are never near-duplicates of each other and stay.
+    Rows that repeat both id and text stay or go together; null ids come last. Columns are those of ``docs``.
     """
-    names = ["fp", "s0", "s1"]
     tagged = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    sig = cut(signatures(tagged, ["id", "th"], "text", wide_signature(shingle_words), names).select("id", "th", F.xxhash64(*names).alias("node"), *names), "sig")
-    points = sig.select("node", *names).distinct()
-    pairs = cut(links(points, radius, 2, similarity_bits(similarity)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "pairs")
-    # one text for each end of a pair; a filter of bounded size lets few other texts through
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    shown = cut(ends.join(sig.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th")).alias("k")), "node").select("node", F.xxhash64("k.id", "k.th").alias("h")), "ends")
-    member = membership_filter(shown.select("h").distinct())
-    if member is None:
-        grouped = sig.select("id", "th", F.col("node").alias("root"))
-    else:
-        keyed = tagged.withColumn("h", F.xxhash64("id", "th")).where(member("h")).select("h", "text")
-        texts = keyed.join(shown, "h").select("node", "text").dropDuplicates(["node"])
-        near = connected_components(similar_pairs(pairs, texts, shingle_words, similarity))
-        grouped = sig.join(near, "node", "left").select("id", "th", F.coalesce("component", "node").alias("root"))
-    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th")).alias("k"), F.count("*").alias("rows")).where("rows > 1")
-    gone = cut(grouped.join(first, "root").where("not (id <=> k.id and th = k.th)").select(F.xxhash64("id", "th").alias("h"), F.col("id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct(), "gone")
+    sig = cut(shingle_prefixes(tagged, shingle_words, similarity), "sig")
+
+    def met(rows: DataFrame, step) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(overlap.runs(step, similarity), overlap.SCHEMA)
+
+    def similar(pairs: DataFrame) -> DataFrame | None:
+        # one text for each end of a pair; a filter of bounded size lets few other texts through
+        ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        shown = cut(ends.join(sig.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th")).alias("k")), "node").select("node", F.xxhash64("k.id", "k.th").alias("h")), "ends")
+        member = membership_filter(shown.select("h").distinct())
+        if member is None:
+            return None
+        texts = tagged.withColumn("h", F.xxhash64("id", "th")).where(member("h")).select("h", "text").join(shown, "h").select("node", "text").dropDuplicates(["node"])
+        return cut(similar_pairs(pairs, texts, shingle_words, similarity), "links")
+
+    pair = lambda rows: rows.where("kind = 0").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    points = sig.select("node", "n", "prefix").dropDuplicates(["node"])
+    first = points.select(F.posexplode("prefix").alias("pos", "key"), "node", "n").select("key", "node", F.col("pos").cast("long").alias("pos"), "n")
+    begun = cut(met(first, overlap.neighbours), "met")
+    tested = cut(pair(begun), "pairs")
+    links = similar(tested)
+    wide = begun.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "pos", "n")
+    near = connected_components(links) if links is not None else None
+    for step in (overlap.hubs, overlap.all_apart):
+        if near is None:
+            apart = wide.withColumn("component", F.col("node")).withColumn("links", F.lit(0).cast("long"))
+        else:
+            ends = links.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+            known = near.join(ends, "node", "left")
+            apart = wide.join(known, "node", "left").select("key", "node", "pos", "n", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+        pairs = cut(pair(met(apart, step)).join(tested, ["src", "dst"], "left_anti"), "pairs")
+        more = similar(pairs)
+        tested = tested.union(pairs)
+        if more is not None:
+            links = more if links is None else links.union(more)
+            near = connected_components(links)
+    grouped = sig.select("id", "th", F.col("node").alias("root")) if near is None else sig.join(near, "node", "left").select("id", "th", F.coalesce("component", "node").alias("root"))
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th")).alias("k"), F.count("*").alias("rows")).where("rows > 1")
+    gone = cut(grouped.join(best, "root").where("not (id <=> k.id and th = k.th)").select(F.xxhash64("id", "th").alias("h"), F.col("id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct(), "gone")
     return without(docs, gone, F.xxhash64(F.col(id), F.xxhash64(F.col(text))), lambda d: d[id].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(d[text]) == gone["_gone_th"]))

@@ -144,6 +144,21 @@ def test_near_duplicate_filter(spark):
     assert simhash.near_duplicate_filter(docs_of(spark, texts)).columns == docs_of(spark, texts).columns
 
 
+def brute_near_groups(texts, k=5, least=0.8):
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (t.lower().split() for t in texts)]
+    return set(brute_components(sets, lambda a, b: len(a & b) >= least * len(a | b)))
+
+
+def test_near_duplicates_cut_and_extended(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"v{rng.randrange(3000)}" for _ in range(rng.randint(20, 300))) for _ in range(60)]
+    for t in texts[:60]:
+        w, part = t.split(), rng.random()
+        texts += [" ".join(w[: int(len(w) * (0.75 + 0.25 * part))]), " ".join(w + [f"e{rng.randrange(999)}" for _ in range(int(len(w) * 0.3 * part))])]
+    texts += ["a b", "a  B", "a b c"] * 3
+    assert {r.doc_id for r in simhash.near_duplicate_filter(docs_of(spark, texts)).collect()} == brute_near_groups(texts)
+
+
 def test_exact_groups_brute(spark, rough):
     docs, rows = rough
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows]
