@@ -137,33 +137,11 @@ def forest(fp: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> l
     return edges
 
 
-def nearest_tree(fp: np.ndarray, sig: np.ndarray, radius: int, sig_most: int) -> list[tuple[int, int]]:
-    """Minimum spanning forest (Prim) by signature distance of the graph of links.
-
-    Whatever stricter distance is asked of its edges later, they join what all links within it would join.
-    """
-    n, far = len(fp), 1 << 20
-    edges: list[tuple[int, int]] = []
-    left = np.arange(n)
-    best, via = np.full(n, far), np.full(n, -1)
-    while len(left):
-        k = int(best[left].argmin())
-        i = int(left[k])
-        left = np.delete(left, k)
-        if best[i] < far:
-            edges.append((int(via[i]), i))
-        d = np.bitwise_count(sig[i] ^ sig[left]).sum(1, dtype=np.int64)
-        ok = (np.bitwise_count(fp[i] ^ fp[left]) <= radius) & (d <= sig_most) & (d < best[left])
-        at = left[ok]
-        best[at], via[at] = d[ok], i
-    return edges
-
-
-def _runs(n_sig: int, radius: int, sig_most: int, run_most: int, last: bool):
-    """mapInArrow body over rows (t, key, fp, node, sig...) sorted by (t, key)."""
+def _runs(radius: int, run_most: int, last: bool):
+    """mapInArrow body over rows (t, key, fp, node) sorted by (t, key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["t", "a", "b", "fp", *[f"s{i}" for i in range(n_sig)]]
+        names = ["t", "a", "b", "fp"]
         held: list[np.ndarray] = []  # columns of the run that the last batch ended in
         over: tuple[int, int] | None = None  # a run that is being handed on to finer tables
 
@@ -171,9 +149,8 @@ def _runs(n_sig: int, radius: int, sig_most: int, run_most: int, last: bool):
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(rows.shape[1])], names=names)
 
         def link(m: np.ndarray) -> np.ndarray:
-            fp, sig = m[:, 2].view(np.uint64), m[:, 4:].view(np.uint64)
-
-            found = nearest_tree(fp, sig, radius, sig_most) if n_sig else forest(fp, lambda i, js: np.bitwise_count(fp[i] ^ fp[js]) <= radius)
+            fp = m[:, 2].view(np.uint64)
+            found = forest(fp, lambda i, js: np.bitwise_count(fp[i] ^ fp[js]) <= radius)
             e = np.array(found, np.int64).reshape(-1, 2)
             rows = np.zeros((len(e), len(names)), np.int64)
             rows[:, 0] = -1
@@ -182,7 +159,7 @@ def _runs(n_sig: int, radius: int, sig_most: int, run_most: int, last: bool):
 
         def handed(m: np.ndarray) -> np.ndarray:
             rows = np.zeros((len(m), len(names)), np.int64)
-            rows[:, 0], rows[:, 1], rows[:, 3], rows[:, 4:] = m[:, 0], m[:, 3], m[:, 2], m[:, 4:]
+            rows[:, 0], rows[:, 1], rows[:, 3] = m[:, 0], m[:, 3], m[:, 2]
             return rows
 
         def close(m: np.ndarray) -> list[np.ndarray]:
@@ -215,8 +192,6 @@ def _runs(n_sig: int, radius: int, sig_most: int, run_most: int, last: bool):
             if len(two):  # most runs: all at once
                 x, y = m[two], m[two + 1]
                 ok = np.bitwise_count((x[:, 2] ^ y[:, 2]).view(np.uint64)) <= radius
-                if n_sig:
-                    ok &= np.bitwise_count((x[:, 4:] ^ y[:, 4:]).view(np.uint64)).sum(1) <= sig_most
                 rows = np.zeros((int(ok.sum()), len(names)), np.int64)
                 rows[:, 0], rows[:, 1], rows[:, 2] = -1, x[ok, 3], y[ok, 3]
                 made.append(rows)
@@ -231,17 +206,15 @@ def _runs(n_sig: int, radius: int, sig_most: int, run_most: int, last: bool):
     return run
 
 
-def links(points: DataFrame, radius: int, n_sig: int = 0, sig_most: int = 0, run_most: int = RUN) -> DataFrame:
-    """A spanning set ``(src, dst)`` of all links between the distinct points (node, fp, s0, ...).
+def links(points: DataFrame, radius: int, run_most: int = RUN) -> DataFrame:
+    """A spanning set ``(src, dst)`` of all links between the distinct points (node, fp).
 
-    Two points link at ``radius`` or fewer differing bits of fp and, with signature columns, at
-    ``sig_most`` or fewer differing bits of those. Joining the result's components gives exactly the
-    components of all links.
+    Two points link at ``radius`` or fewer differing bits of fp. Joining the result's components gives
+    exactly the components of all links.
     """
-    sig = [f"s{i}" for i in range(n_sig)]
-    schema = "t long, a long, b long, fp long" + "".join(f", {s} long" for s in sig)
+    schema = "t long, a long, b long, fp long"
     tables = dict(enumerate(covering_masks(radius)))
-    rows = points.select(F.explode(F.expr(f"sequence(0L, {len(tables) - 1}L)")).alias("t"), "fp", "node", *sig)
+    rows = points.select(F.explode(F.expr(f"sequence(0L, {len(tables) - 1}L)")).alias("t"), "fp", "node")
     found = []
     while True:
         free = 64 - min(m.bit_count() for m in tables.values())
@@ -249,8 +222,8 @@ def links(points: DataFrame, radius: int, n_sig: int = 0, sig_most: int = 0, run
         # a row's key follows from its table and fingerprint, so it is made on both sides and does not travel
         masks = ", ".join(f"{signed(tables.get(t, 0))}L" for t in range(max(tables) + 1))
         key = F.col("fp").bitwiseAND(F.expr(f"element_at(array({masks}), cast(t + 1 as int))"))
-        dealt = rows.repartition("t", key).select("t", key.alias("key"), "fp", "node", *sig)
-        met = cut(dealt.sortWithinPartitions("t", "key").mapInArrow(_runs(n_sig, radius, sig_most, run_most, last), schema), "simhash")
+        dealt = rows.repartition("t", key).select("t", key.alias("key"), "fp", "node")
+        met = cut(dealt.sortWithinPartitions("t", "key").mapInArrow(_runs(radius, run_most, last), schema), "simhash")
         found.append(met.where("t = -1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
         again = met.where("t >= 0")
         hot = [] if last else [r.t for r in again.select("t").distinct().collect()]  # table numbers only
@@ -259,7 +232,7 @@ def links(points: DataFrame, radius: int, n_sig: int = 0, sig_most: int = 0, run
         parts = {t: finer(tables[t], radius) for t in hot}
         tables = {t * (radius + 1) + j: m for t, ms in parts.items() for j, m in enumerate(ms)}
         finer_of = F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda j: F.col("t") * (radius + 1) + j)
-        rows = again.select(F.explode(finer_of).alias("t"), "fp", F.col("a").alias("node"), *sig)
+        rows = again.select(F.explode(finer_of).alias("t"), "fp", F.col("a").alias("node"))
     out = found[0]
     for x in found[1:]:
         out = out.union(x)

@@ -159,6 +159,19 @@ def test_near_duplicates_cut_and_extended(spark):
     assert {r.doc_id for r in simhash.near_duplicate_filter(docs_of(spark, texts)).collect()} == brute_near_groups(texts)
 
 
+def test_near_duplicates_around_one_text(spark):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(4000)}" for _ in range(400)]
+    texts = [" ".join(base)]
+    for _ in range(300):
+        t = list(base)
+        for p in rng.sample(range(400), 7):
+            t[p] = f"x{rng.randrange(9999)}"
+        texts.append(" ".join(t))
+    assert brute_near_groups(texts) == {0}
+    assert [r.doc_id for r in simhash.near_duplicate_filter(docs_of(spark, texts)).collect()] == [0]
+
+
 def test_exact_groups_brute(spark, rough):
     docs, rows = rough
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows]
