@@ -12,6 +12,7 @@ emit a spanning forest of their links (at most members - 1 rows), never all pair
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -109,9 +110,15 @@ def signatures(docs: DataFrame, keep: list[str], text: str, of: Callable[[bytes]
 
 
 def covering_masks(radius: int) -> list[int]:
-    """The 2^(radius+1) - 1 bit masks; bit i stands for the vector i mod 2^(radius+1)."""
+    """The 2^(radius+1) - 1 bit masks, none empty and no two alike.
+
+    Bit i stands for the vector i mod 2^(radius+1); where 64 numbers do not reach all dimensions, for the
+    unit vectors and then fixed random ones. Vectors that span the space give each v a mask of its own.
+    """
     size = 1 << (radius + 1)
-    return [sum(1 << i for i in range(64) if ((i % size) & v).bit_count() & 1) for v in range(1, size)]
+    rng = random.Random(SEED)
+    vectors = [i % size for i in range(64)] if size <= 64 else [1 << i if i <= radius else rng.randrange(1, size) for i in range(64)]
+    return [sum(1 << i for i in range(64) if (vectors[i] & v).bit_count() & 1) for v in range(1, size)]
 
 
 def finer(mask: int, radius: int) -> list[int]:

@@ -172,6 +172,16 @@ def test_near_duplicates_around_one_text(spark):
     assert [r.doc_id for r in simhash.near_duplicate_filter(docs_of(spark, texts)).collect()] == [0]
 
 
+@pytest.mark.parametrize("radius", [3, 6, 7, 8])
+def test_covering_masks_are_distinct(radius):
+    rng = random.Random(radius)
+    masks = simhash.covering_masks(radius)
+    assert len(set(masks)) == 2 ** (radius + 1) - 1 and 0 not in masks
+    for _ in range(200):
+        d = sum(1 << b for b in rng.sample(range(64), radius))
+        assert any(not m & d for m in masks)
+
+
 def test_exact_groups_brute(spark, rough):
     docs, rows = rough
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows]
