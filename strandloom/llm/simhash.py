@@ -35,7 +35,6 @@ FREE = 14
 #: Texts that the order of shingles is estimated on, and shingles that count as common, at most.
 SAMPLE, COMMON = 20_000, 1 << 18
 _LANE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
-_M64 = (1 << 64) - 1
 
 
 def words(data: bytes) -> list[bytes]:
@@ -67,14 +66,6 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * bits > n, bitorder="little").tobytes(), "little")
 
 
-def respread(hashes: np.ndarray, seed: int) -> np.ndarray:
-    """Independent hashes from hashes (the splitmix64 finaliser)."""
-    x = hashes + np.uint64(seed * 0x9E3779B97F4A7C15 & _M64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -83,17 +74,6 @@ def shingle_fingerprint(k: int) -> Callable[[bytes], tuple[int, ...]]:
     return lambda data: (majority(shingle_hashes(words(data), k)),)
 
 
-def wide_signature(k: int) -> Callable[[bytes], tuple[int, ...]]:
-    """One fingerprint of the distinct words, for the tables, and 128 bits of the k-word shingles."""
-
-    def of(data: bytes) -> tuple[int, ...]:
-        tokens = words(data)
-        h = shingle_hashes(tokens, k)
-        return (majority(shingle_hashes(sorted(set(tokens)), 1)), majority(h), majority(respread(h, 1)))
-
-    return of
-
-
 def signatures(docs: DataFrame, keep: list[str], text: str, of: Callable[[bytes], tuple[int, ...]], names: list[str]) -> DataFrame:
     """The columns ``keep`` and a long for each of ``names``; null texts count as empty."""
     schema = docs.select(*keep).schema
@@ -265,12 +245,6 @@ def simhash_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     return fps.join(named, "fp").select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similarity_bits(similarity: float, bits: int = 128, deviations: float = 2.5) -> int:
-    """Differing bits of a SimHash that shingle sets of this Jaccard similarity show, but for the last few of a hundred."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
-
-
 def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` (src, dst) whose texts (node, text) have this Jaccard similarity of distinct shingles, exactly."""
 

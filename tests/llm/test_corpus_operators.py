@@ -182,6 +182,14 @@ def test_covering_masks_are_distinct(radius):
         assert any(not m & d for m in masks)
 
 
+def test_near_duplicates_with_repeated_passages(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"v{rng.randrange(3000)}" for _ in range(300)) for _ in range(30)]
+    texts = [" ".join([t, *[" ".join(t.split()[:30])] * n]) for n in (1, 12) for t in texts]
+    assert brute_near_groups(texts) == set(range(30))
+    assert {r.doc_id for r in simhash.near_duplicate_filter(docs_of(spark, texts)).collect()} == set(range(30))
+
+
 def test_exact_groups_brute(spark, rough):
     docs, rows = rough
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows]
