@@ -180,11 +180,20 @@ def without(docs: DataFrame, gone: DataFrame, key: Column, same) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns.
+    """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns: one of each group.
 
-    Rows that repeat both id and normalised text count as one document and stay together if it stays.
+    Of rows that repeat both id and normalised text, or whose ids are all null, any one stays.
     """
     sha = lambda d: F.sha2(normalised(d[text]).cast("binary"), 256)
-    gone = exact_groups(docs, id, text).where("not kept").select(F.col(id).alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"), F.col("keep_id").alias("_keep_")).where("not (_gone_id <=> _keep_)").drop("_keep_").distinct()
-    gone = cut(gone.withColumn("h", F.xxhash64("_gone_id")), "gone")
-    return without(docs, gone, F.xxhash64(F.col(id)), lambda d: d[id].eqNullSafe(gone["_gone_id"]) & (sha(d) == gone["_gone_sha"]))
+    lost = exact_groups(docs, id, text).where("not kept").select(F.col(id).alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"), F.col(id).eqNullSafe(F.col("keep_id")).alias("_again_")).distinct()
+    lost = cut(lost.withColumn("h", F.xxhash64("_gone_id")), "gone")
+    gone, twice = lost.where("not _again_"), lost.where("_again_")
+    same = lambda d, g: d[id].eqNullSafe(g["_gone_id"]) & (sha(d) == g["_gone_sha"])
+    key = F.xxhash64(F.col(id))
+    left = without(docs, gone, key, lambda d: same(d, gone))
+    member = membership_filter(twice.select("h").distinct())
+    if member is None:
+        return left
+    some, twice = left.where(member(key)), twice.select("_gone_id", "_gone_sha")
+    once = some.join(twice, same(some, twice)).dropDuplicates(["_gone_id", "_gone_sha"]).drop("_gone_id", "_gone_sha")
+    return left.where(~member(key)).union(some.join(twice, same(some, twice), "left_anti")).union(once)

@@ -214,6 +214,13 @@ def test_exact_dedup_keeps_columns_and_one_of_each(spark, rough):
     assert exact_dedup.exact_groups(docs.where("false")).count() == 0
 
 
+def test_exact_dedup_keeps_one_row_of_each_group(spark):
+    texts = ["a b", "a  b", "a b", "c", "c", "d", "d", "d", "e"]
+    docs = docs_of(spark, texts, [1, 2, 1, None, None, 5, 5, 4, None]).repartition(5)
+    got = sorted(((r.doc_id, re.sub(" +", " ", r.text)) for r in exact_dedup.exact_dedup(docs).collect()), key=str)
+    assert got == sorted([(1, "a b"), (None, "c"), (4, "d"), (None, "e")], key=str)
+
+
 def test_exact_groups_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
