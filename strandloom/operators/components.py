@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.plans.runtime import cut
+from strandloom.plans.runtime import cut, discard
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if tuple(state) == before or state[0] == 0:
             break
         before = tuple(state)
-        now = cut(_small_star(_large_star(now).distinct()).distinct(), "cc")
+        old, now = now, cut(_small_star(_large_star(now).distinct()).distinct(), "cc")
+        discard(old)
     else:
         raise RuntimeError("components did not converge")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

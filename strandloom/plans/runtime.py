@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,12 +17,14 @@ _own_dir: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (local tests) a
-    temporary folder of this machine is made once for each application.
+    A cluster names it in ``spark.checkpoint.dir``; where that is unset, a local session gets a temporary
+    folder of this machine, once for each application, and a cluster is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="strandloom-")
@@ -34,7 +38,18 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Delete what :func:`cut` wrote for these; nothing that is still to run may read it."""
+    for df in cuts:
+        if path := df.__dict__.pop("_cut_path", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Rows that Python workers get at once: texts are long, and small batches keep workers small.
@@ -54,3 +69,10 @@ def ready(spark: SparkSession) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def plain_columns(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns c0, c1, ..., so that no name clashes with an operator's own; the new ``names``; the way back."""
+    columns = docs.columns
+    fresh = [f"c{i}" for i in range(len(columns))]
+    return docs.toDF(*fresh), [f"c{columns.index(n)}" for n in names], lambda df: df.select(*fresh).toDF(*columns)
