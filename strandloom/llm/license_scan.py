@@ -1,5 +1,8 @@
 """Licence scans: a trained paragraph classifier confirmed by template comparison, in SQL functions only.
 
+Paragraphs are lines and, as notices are wrapped and commented in many ways, what neighbouring lines make
+together.
+
 A sparse multinomial logistic regression over word n-grams (1 to 3) tells licence families and an unknown
 class. It is fitted on the driver from the notices below and a bounded sample of corpus paragraphs; scoring
 is a broadcast join of n-grams with weights. A prediction counts if its calibrated probability passes and
@@ -12,8 +15,11 @@ import re
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandloom.plans.runtime import cut
+
 # Usual short notices of public licences.
 TEMPLATES = {
     "AGPL-3.0": ["licensed under the gnu affero general public license version 3", "under the terms of the gnu affero general public license as published by the free software foundation"],
@@ -33,7 +39,9 @@ TEMPLATES = {
 UNKNOWN = "unknown"
 #: Corpus paragraphs that the unknown class is fitted on, at most.
 SAMPLE = 3000
-_SPLIT = r"[^a-z0-9]+"
+_SPLIT, _LINE = r"[^a-z0-9]+", r"\r\n?|\n"
+#: Line numbers in the lower half of a long.
+_PAIR = 1 << 31
 
 
 def _words(text: str) -> list[str]:
@@ -55,7 +63,8 @@ def fit(unknown: list[str], seed: int = 11, copies: int = 25, steps: int = 400,
     classes = [*families, UNKNOWN]
     plain = [_words(t) for t in unknown]
     known = [_shingles(_words(t)) for ts in TEMPLATES.values() for t in ts]
-    plain = [w for w in plain if w and not any(len(s & _shingles(w)) >= 0.5 * len(s) for s in known)]
+    # neither notices nor lines of wrapped ones
+    plain = [w for w in plain if w and not any(2 * len(s & x) >= min(len(s), len(x)) for x in [_shingles(w)] for s in known)]
     filler = [w for p in plain[:500] for w in p] or ["text"]
     rows, y = [], []
     for k, f in enumerate(families):
@@ -104,55 +113,86 @@ def fit(unknown: list[str], seed: int = 11, copies: int = 25, steps: int = 400,
     return {"classes": classes, "grams": [vocabulary[i] for i in used], "w": w[used].astype(float), "b": b.astype(float), "t": best, "gate": gate}
 
 
+def _lines(text: str):
+    """Words of each line."""
+    return F.transform(F.split(F.lower(text), _LINE), lambda p: F.filter(F.split(p, _SPLIT), lambda w: w != ""))
+
+
+def _windows(reach: int) -> str:
+    """SQL of the paragraphs among ``lines`` that hold a word of ``gate``: structs (s, e, words) of first and last line.
+
+    A paragraph is a line, or neighbouring lines with no blank one among them, as many as a notice of ``reach``
+    words may be wrapped over: those between the first and the last hold fewer words than that.
+    """
+    far = "aggregate(sequence(0, least({most}, {r})), struct(0 as k, 0 as w, true as o), (a, j) -> case when j = 0 then a when a.o and a.w < {r} and size(lines[{at}]) > 0 then struct(j as k, a.w + size(lines[{at}]) as w, true as o) else struct(a.k as k, a.w as w, false as o) end, a -> a.k)"
+    up, down = far.format(most="g", r=reach, at="g - j"), far.format(most="size(lines) - 1 - g", r=reach, at="g + j")
+    around = f"flatten(transform(sequence(0, {up}), a -> transform(sequence(0, {down}), b -> (g - a) * {_PAIR}L + g + b)))"
+    hits = "filter(sequence(0, size(lines) - 1), i -> arrays_overlap(lines[i], gate))"
+    pairs = f"transform(array_distinct(flatten(transform({hits}, g -> {around}))), c -> struct(cast(c div {_PAIR}L as int) as s, cast(c % {_PAIR}L as int) as e))"
+    inner = "aggregate(slice(lines, x.s + 2, x.e - x.s - 1), 0, (n, l) -> n + size(l))"
+    return f"transform(filter({pairs}, x -> x.e - x.s < 2 or {inner} < {reach}), x -> struct(x.s as s, x.e as e, flatten(slice(lines, x.s + 1, x.e - x.s + 1)) as words))"
+
+
 def license_scan(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.5, confirm: float = 0.6) -> DataFrame:
     """One row for every row of ``docs``: ``(id, licenses, n_paragraphs, score, similarity, paragraph)``.
 
     licenses: families found, ascending and comma-separated, null for none; n_paragraphs: paragraphs that
     name one; score, similarity, paragraph: of the surest one (of equals the first), its calibrated
-    probability, share of its template and line number from 0; null for none. Paragraphs are non-empty lines. Null and empty texts
-    have none; repeated rows are judged alike and ids may be null; an empty table gives no rows; further
-    columns are not looked at.
+    probability, share of its template and number of its first line from 0; null for none.
+
+    Paragraphs are lines and what neighbouring lines make together (see ``_windows``), so that wrapped and
+    commented notices are read whole. Of the paragraphs that name a family those count that hold no smaller
+    one of it; a line in paragraphs of several families belongs to the one with the largest share of its
+    template; paragraphs of one family that overlap are one.
+
+    Null and empty texts have none; repeated rows are judged alike and ids may be null; an empty table gives
+    no rows; further columns are not looked at.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    lines = own.select(F.explode(F.split("text", "\n")).alias("p")).where("p <> ''")
     share = min(1.0, SAMPLE / max(1, own.count()))  # of the documents, so that few paragraphs travel
-    drawn = own.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.explode(F.split("text", "\n")).alias("p")).where("p <> ''") if share < 1 else lines
+    drawn = own.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) <= int(share * (1 << 30))).select(F.explode(F.split("text", _LINE)).alias("p")).where("p <> ''")
     sample = [r["p"] for r in drawn.select("p", F.xxhash64("p").alias("k")).distinct().orderBy("k", "p").limit(SAMPLE).collect()]
     model = fit(sample)
-    n = len(model["classes"])
+    n, reach = len(model["classes"]), max(len(_words(t)) for ts in TEMPLATES.values() for t in ts)
     # both tables are as large as the notices above, whatever the data
     weights = spark.createDataFrame([(g, [float(v) for v in w]) for g, w in zip(model["grams"], model["w"], strict=True)], "gram string, w array<double>")
     templates = spark.createDataFrame([(f, sorted(_shingles(_words(t)))) for f, ts in TEMPLATES.items() for t in ts], "family string, parts array<string>")
     templates = templates.groupBy("family").agg(F.collect_list("parts").alias("templates"))
 
-    words = lambda p: F.filter(F.split(F.lower(p), _SPLIT), lambda w: w != "")
-    gate = F.array(*map(F.lit, model["gate"]))
-    numbered = F.transform(F.split("text", "\n"), lambda p, i: F.struct(i.alias("at"), p.alias("p")))
-    sure = F.filter(numbered, lambda x: F.arrays_overlap(F.split(F.lower(x["p"]), _SPLIT), gate))
-    base = own.select("id", F.monotonically_increasing_id().alias("row"), sure.alias("paragraphs"))
-    met = base.select("id", "row", F.explode_outer("paragraphs").alias("x")).select("id", "row", "x.at", words(F.col("x.p")).alias("words"))
+    # one pass over each text tells whether any weight applies; only then it is cut into lines
+    named = F.coalesce(F.lower("text").rlike(f"(?<![a-z0-9])(?:{'|'.join(model['gate'])})(?![a-z0-9])"), F.lit(False))
+    base = own.select("id", F.monotonically_increasing_id().alias("row"), F.when(named, _lines("text")).alias("lines"), F.array(*map(F.lit, model["gate"])).alias("gate"))
+    opened = base.select("id", "row", F.posexplode_outer(F.expr(f"if(lines is null, null, {_windows(reach)})")).alias("place", "x"))
+    met = cut(opened.select("id", "row", "place", "x.s", "x.e", "x.words"), "paragraphs")  # rows without paragraphs keep a null one
 
     def runs(k: int):
         return F.when(F.size("words") >= k, F.transform(F.sequence(F.lit(1), F.size("words") - (k - 1)), lambda i: F.array_join(F.slice("words", i, k), " "))).otherwise(F.array().cast("array<string>"))
 
-    # a paragraph that only the gate let through keeps a null n-gram, so that every row stays
-    spread = met.select("id", "row", "at", F.array_distinct(runs(2)).alias("pairs"), F.explode_outer(F.array_distinct(F.concat(F.col("words"), runs(2), runs(3)))).alias("gram"))
-    weighed = spread.join(F.broadcast(weights), "gram", "left")
-    sums = [F.sum(F.coalesce(F.col("w")[k], F.lit(0.0))).alias(f"s{k}") for k in range(n)]
-    scored = weighed.groupBy("row", "at").agg(F.first("id").alias("id"), F.first("pairs").alias("pairs"), *sums)
+    spread = met.where("s is not null").select("row", "s", "e", F.array_distinct(runs(2)).alias("pairs"), F.explode(F.array_distinct(F.concat(F.col("words"), runs(2), runs(3)))).alias("gram"))
+    weighed = spread.join(F.broadcast(weights), "gram")
+    sums = [F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(n)]
+    scored = weighed.groupBy("row", "s", "e").agg(F.first("pairs").alias("pairs"), *sums)
     scaled = F.array(*((F.col(f"s{k}") + F.lit(float(model["b"][k]))) / F.lit(model["t"]) for k in range(n)))
-    top = scored.withColumn("s", scaled).withColumn("m", F.array_max("s"))
-    top = top.withColumn("best", (F.array_position("s", F.col("m")) - 1).cast("int")).withColumn("p", F.lit(1.0) / F.aggregate("s", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("m"))))
-    named = top.withColumn("family", F.array(*map(F.lit, model["classes"]))[F.col("best")])
-    compared = named.join(F.broadcast(templates), "family", "left")
+    top = scored.withColumn("z", scaled).withColumn("m", F.array_max("z"))
+    top = top.withColumn("best", (F.array_position("z", F.col("m")) - 1).cast("int")).withColumn("p", F.lit(1.0) / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("m"))))
+    sorted_out = top.withColumn("family", F.array(*map(F.lit, model["classes"]))[F.col("best")]).where((F.col("family") != UNKNOWN) & (F.col("p") >= least))
     likeness = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("pairs"))) / F.size(t)))
-    hit = (F.col("at").isNotNull()) & (F.col("family") != UNKNOWN) & (F.col("p") >= least) & (F.col("likeness") >= confirm)
-    judged = compared.withColumn("likeness", likeness).withColumn("hit", F.coalesce(hit, F.lit(False)))
-    found = judged.groupBy("row").agg(
-        F.first("id").alias("id"),
-        F.array_sort(F.collect_set(F.when(F.col("hit"), F.col("family")))).alias("f"),
-        F.sum(F.col("hit").cast("long")).alias("n_paragraphs"),
-        F.max(F.when(F.col("hit"), F.struct("p", (-F.col("at")).alias("back"), "likeness"))).alias("top"),
+    hits = sorted_out.join(F.broadcast(templates), "family").select("row", "family", "s", "e", "p", likeness.alias("likeness")).where(F.col("likeness") >= confirm)
+    return _named(met.where("coalesce(place, 0) = 0").select("id", "row"), hits).select(F.col("id").alias(id), "licenses", "n_paragraphs", "score", "similarity", "paragraph")
+
+
+def _named(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """What the paragraphs ``hits`` (row, family, s, e, p, likeness) say of each of ``rows`` (id, row)."""
+    inside = W.partitionBy("row", "family").orderBy("e", F.desc("s")).rowsBetween(W.unboundedPreceding, -1)
+    least = hits.withColumn("_s", F.max("s").over(inside)).where("_s is null or s > _s")
+    lines = least.select("row", F.explode(F.sequence("s", "e")).alias("line"), F.struct("likeness", "p", (F.col("s") - F.col("e")).alias("short"), (-F.col("s")).alias("first"), "family", "e").alias("k"))
+    own = lines.groupBy("row", "line").agg(F.max("k").alias("k")).select("row", (-F.col("k.first")).alias("s"), "k.e", "k.family", "k.p", "k.likeness").distinct()
+    before = W.partitionBy("row", "family").orderBy("s", "e").rowsBetween(W.unboundedPreceding, -1)
+    fresh = own.withColumn("_e", F.max("e").over(before)).withColumn("fresh", F.when(F.col("_e").isNull() | (F.col("s") > F.col("_e")), 1).otherwise(0))
+    found = fresh.groupBy("row").agg(
+        F.array_join(F.array_sort(F.collect_set("family")), ",").alias("licenses"),
+        F.sum("fresh").cast("long").alias("n"),
+        F.max(F.struct("p", (-F.col("s")).alias("back"), "likeness")).alias("top"),
     )
-    return found.select(F.col("id").alias(id), F.when(F.size("f") > 0, F.array_join("f", ",")).alias("licenses"), "n_paragraphs", F.col("top.p").alias("score"), F.col("top.likeness").alias("similarity"), (-F.col("top.back")).alias("paragraph"))
+    return rows.join(found, "row", "left").select("id", "licenses", F.coalesce("n", F.lit(0).cast("long")).alias("n_paragraphs"), F.col("top.p").alias("score"), F.col("top.likeness").alias("similarity"), (-F.col("top.back")).alias("paragraph"))
