@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from strandloom.plans.runtime import cut
 
@@ -33,8 +35,8 @@ _SCHEMA = "doc_id {id}, piece int, start long, length long, ids_crc32 long, sequ
 class WordTokenizer:
     """Ids of whole texts, word by word.
 
-    The vocabulary's splitting never joins characters across white space, nor a letter or digit with the
-    marks behind it, and is blind to case; so a text's ids are those of its words and marks in order. Ids of
+    The vocabulary's splitting never joins characters across white space, nor what normalises to a final letter
+    or digit with the marks behind it, and is blind to case; so a text's ids are those of its words and marks in order. Ids of
     a word are looked up; the new words of many texts are encoded in one call, with a separator between
     them whose id nothing else has.
     """
@@ -86,11 +88,19 @@ class WordTokenizer:
         low = s.lower()
         return max(s) < "\u0250" and len(low) == len(s) and low.isalpha() and max(low) < "\u0250"
 
+    @staticmethod
+    def _whole(core: bytes) -> bool:
+        """Whether a letter or digit is last once normalised: some letters end in a mark then, which joins those behind it."""
+        if core[-1] < 128:
+            return core[-1:].isalnum()
+        last = unicodedata.normalize("NFC", core.decode()).lower()[-1:]
+        return unicodedata.category(last)[0] in "LN"
+
     def _learn(self, tokens: set[bytes]) -> None:
         parts, marks = {}, self.MARKS
         for t in tokens:
             core = t.rstrip(marks)
-            if core and len(core) < len(t) and b"<|" not in t and (core[-1:].isalnum() or core.decode()[-1].isalpha()):
+            if core and len(core) < len(t) and b"<|" not in t and self._whole(core):
                 parts[t] = (core, t[len(core) :])
             else:
                 parts[t] = (t,)
@@ -242,9 +252,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id: str = "doc_id", text: str = "
     carried through, null or repeated: every row of ``docs`` is packed. An empty table gives no rows; other
     columns are not looked at. Every worker reads the vocabulary at ``tokenizer_path``.
     """
-    kind = dict(docs.select(F.col(id).alias("i")).dtypes)["i"]
-    schema = _SCHEMA.format(id=kind)
-    arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    kind = docs.select(F.col(id).alias("i")).schema["i"].dataType
+    schema, arrow = _SCHEMA.format(id=kind.simpleString()), to_arrow_type(kind)
     texts = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("binary").alias("data"))
     enough = int(capacity * nearly)
     now = cut(texts.mapInArrow(_local(tokenizer_path, capacity, end_id, arrow), schema), "pack0")
