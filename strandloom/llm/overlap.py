@@ -1,26 +1,19 @@
-"""Candidates of a Jaccard join of sets by prefix filtering: no pair that reaches the similarity is missed.
+"""Exact parts of a Jaccard join of sets: prefixes that similar sets must share, and bounds of what two sets share.
 
 All sets are put in one order, hashes that are common in a sample last. Of two sets with Jaccard similarity s
 or more, each holds a common hash among its first n - ceil(s n) + 1, so the pair meets in the run of that hash.
-At the first hash that both hold, sizes and positions bound the overlap; pairs that cannot reach s are left out.
-
-Links are looked for in three steps, so that groups of many copies do not cost all their pairs: neighbours in
-each run, then each run's best linked member with the others, then every pair of a run that is still apart.
+At the first hash that both hold, sizes and positions bound the overlap; counts by hash bucket bound it again.
+Neither bound is ever too low, so no pair that reaches the similarity is left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: What rounding of similarity times size may come to.
-_SLACK = 1e-9
-#: Pairs that are held before they are handed on.
-_PAIRS = 1 << 17
-#: Columns of what runs emit: pairs (kind 0: a, b) and members of runs for the later steps (kind 1: key, node, place, size).
-SCHEMA = "kind long, a long, b long, pos long, n long"
+SLACK = 1e-9
 
 
 def prefix(h: np.ndarray, common: np.ndarray, times: np.ndarray, similarity: float) -> np.ndarray:
@@ -28,92 +21,28 @@ def prefix(h: np.ndarray, common: np.ndarray, times: np.ndarray, similarity: flo
     if len(common) and len(h):
         at = np.minimum(np.searchsorted(common, h), len(common) - 1)
         h = h[np.argsort(np.where(common[at] == h, times[at], 0), kind="stable")]
-    return h[: len(h) - int(np.ceil(similarity * len(h) - _SLACK)) + 1]
-
-
-def may_reach(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
-    """Which rows (key, node, place, size, ...) of x and y, first met at this hash, may still reach the similarity."""
-    most = np.minimum(x[:, 3] - x[:, 2], y[:, 3] - y[:, 2])
-    return most >= similarity * (x[:, 3] + y[:, 3] - most) - _SLACK
-
-
-def neighbours(m: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
-    """Of whole runs: pairs of neighbours in one of four mixed orders, and the members of runs of three or more."""
-    mixed = (m[:, 1] ^ (m[:, 0] & 3)) * np.int64(0x2545F4914F6CDD1D)
-    m = m[np.lexsort((mixed ^ (mixed >> 29), m[:, 0]))]
-    same = m[1:, 0] == m[:-1, 0]
-    x, y = m[:-1][same], m[1:][same]
-    yield _pairs(x, y, may_reach(x, y, similarity))
-    inner = np.zeros(len(m), bool)
-    inner[1:-1] = same[1:] & same[:-1]
-    wide = inner.copy()
-    wide[1:] |= inner[:-1] & same
-    wide[:-1] |= inner[1:] & same
-    yield np.column_stack([np.ones(int(wide.sum()), np.int64), m[wide]])
-
-
-def hubs(m: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
-    """Of whole runs (.., component, links): pairs of the member with most links and those in other components."""
-    m = m[np.lexsort((-m[:, 5], m[:, 0]))]
-    starts = np.r_[0, np.flatnonzero(m[1:, 0] != m[:-1, 0]) + 1]
-    x = np.repeat(m[starts], np.diff(np.r_[starts, len(m)]), axis=0)
-    yield _pairs(x, m, (x[:, 4] != m[:, 4]) & may_reach(x, m, similarity))
-
-
-def all_apart(m: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
-    """Of whole runs (.., component, links): every pair of two components that may reach the similarity."""
-    m = m[np.lexsort((m[:, 3], m[:, 0]))]
-    starts = np.r_[0, np.flatnonzero(m[1:, 0] != m[:-1, 0]) + 1]
-    held, count = [], 0
-    for lo, hi in zip(starts, np.r_[starts[1:], len(m)], strict=True):
-        run = m[lo:hi]
-        if (run[:, 4] == run[0, 4]).all():
-            continue
-        ends = np.searchsorted(run[:, 3], run[:, 3] / similarity + _SLACK, side="right")
-        for i in range(len(run) - 1):
-            y = run[i + 1 : ends[i]]
-            x = np.broadcast_to(run[i], y.shape)
-            held.append(_pairs(x, y, (y[:, 4] != run[i, 4]) & may_reach(x, y, similarity)))
-            count += len(held[-1])
-            if count >= _PAIRS:
-                yield np.unique(np.concatenate(held), axis=0)
-                held, count = [], 0
-    if count:
-        yield np.unique(np.concatenate(held), axis=0)
-
+    return h[: len(h) - int(np.ceil(similarity * len(h) - SLACK)) + 1]
 
-def _pairs(x: np.ndarray, y: np.ndarray, ok: np.ndarray) -> np.ndarray:
-    rows = np.zeros((int(ok.sum()), 5), np.int64)
-    rows[:, 1], rows[:, 2] = np.minimum(x[ok, 1], y[ok, 1]), np.maximum(x[ok, 1], y[ok, 1])
-    return rows
 
+def may_reach(x: str, y: str, similarity: float) -> Column:
+    """Whether two rows with ``pos`` and ``n``, first met at this hash, may still reach the similarity."""
+    most = F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos"))
+    return most >= F.lit(similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n") - most) - SLACK
 
-def runs(step: Callable[[np.ndarray, float], Iterator[np.ndarray]], similarity: float):
-    """mapInArrow body over rows (key, node, place, size, ...) sorted by key; ``step`` gets whole runs of two or more."""
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
-    def close(m: np.ndarray) -> Iterator[pa.RecordBatch]:
-        same = m[1:, 0] == m[:-1, 0]
-        m = m[np.r_[False, same] | np.r_[same, False]]
-        for rows in step(m, similarity) if len(m) else ():
-            if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(5)], names=names)
+def sketch(h: np.ndarray) -> bytes:
+    """How many of the hashes fall into each of about a quarter as many buckets; empty if a count has no room."""
+    bits = max(4, (len(h) >> 2).bit_length())
+    count = np.bincount((h & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+    return count.astype(np.uint8).tobytes() if count.max() < 256 else b""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # rows of the last key so far
-        for b in batches:
-            if not b.num_rows:
-                continue
-            m = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
-            if held and m[0, 0] == m[-1, 0] == held[-1][-1, 0]:
-                held.append(m)
-                continue
-            m = np.concatenate([*held, m])
-            last = int(np.flatnonzero(m[1:, 0] != m[:-1, 0])[-1]) + 1 if m[0, 0] != m[-1, 0] else 0
-            held = [m[last:].copy()]
-            if last:
-                yield from close(m[:last])
-        if held:
-            yield from close(np.concatenate(held))
 
-    return run
+def shared_at_most(x: bytes, y: bytes, m: int, n: int) -> int:
+    """An upper bound of the hashes that sets of m and n hashes with these sketches share."""
+    if not x or not y:
+        return min(m, n)
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    if len(a) > len(b):
+        a = a.reshape(-1, len(b)).sum(0, dtype=np.int64)
+    return int(np.minimum(a, b).sum(dtype=np.int64))

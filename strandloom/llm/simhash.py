@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, LongType
 from strandloom.llm import overlap
 from strandloom.llm.exact_dedup import membership_filter, without
 from strandloom.operators.components import connected_components
-from strandloom.plans.runtime import cut
+from strandloom.plans.runtime import cut, discard, plain_columns
 
 SEED = 42
 #: Runs with more members are dealt to finer tables.
@@ -200,14 +200,14 @@ def links(points: DataFrame, radius: int, run_most: int = RUN) -> DataFrame:
     exactly the components of all links.
     """
     schema = "t long, a long, b long, fp long"
-    tables = dict(enumerate(covering_masks(radius)))
+    tables = covering_masks(radius)
     rows = points.select(F.explode(F.expr(f"sequence(0L, {len(tables) - 1}L)")).alias("t"), "fp", "node")
     found = []
     while True:
-        free = 64 - min(m.bit_count() for m in tables.values())
+        free = 64 - min(m.bit_count() for m in tables)
         last = free <= FREE
         # a row's key follows from its table and fingerprint, so it is made on both sides and does not travel
-        masks = ", ".join(f"{signed(tables.get(t, 0))}L" for t in range(max(tables) + 1))
+        masks = ", ".join(f"{signed(m)}L" for m in tables)
         key = F.col("fp").bitwiseAND(F.expr(f"element_at(array({masks}), cast(t + 1 as int))"))
         dealt = rows.repartition("t", key).select("t", key.alias("key"), "fp", "node")
         met = cut(dealt.sortWithinPartitions("t", "key").mapInArrow(_runs(radius, run_most, last), schema), "simhash")
@@ -216,9 +216,11 @@ def links(points: DataFrame, radius: int, run_most: int = RUN) -> DataFrame:
         hot = [] if last else [r.t for r in again.select("t").distinct().collect()]  # table numbers only
         if not hot:
             break
-        parts = {t: finer(tables[t], radius) for t in hot}
-        tables = {t * (radius + 1) + j: m for t, ms in parts.items() for j, m in enumerate(ms)}
-        finer_of = F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda j: F.col("t") * (radius + 1) + j)
+        # only the tables with hot runs go on, numbered anew
+        hot = sorted(hot)
+        tables = [m for t in hot for m in finer(tables[t], radius)]
+        place = F.array_position(F.array(*map(F.lit, hot)), F.col("t")) - 1
+        finer_of = F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda j: place * (radius + 1) + j)
         rows = again.select(F.explode(finer_of).alias("t"), "fp", F.col("a").alias("node"))
     out = found[0]
     for x in found[1:]:
@@ -259,12 +261,29 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle_words: int, simila
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 m, n = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(m, n, assume_unique=True))
-                keep.append(both >= similarity * (len(m) + len(n) - both))
+                keep.append(both >= similarity * (len(m) + len(n) - both) - overlap.SLACK)
             yield b.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
     shingles = cut(texts.select("node", F.col("text").cast("binary").alias("b")).mapInArrow(sets, "node long, set binary"), "shingles")
     met = pairs.join(shingles.toDF("src", "x"), "src").join(shingles.toDF("dst", "y"), "dst")
-    return met.select("src", "dst", "x", "y").mapInArrow(compare, "src long, dst long")
+    found = cut(met.select("src", "dst", "x", "y").mapInArrow(compare, "src long, dst long"), "links")
+    discard(shingles)
+    return found
+
+
+def possible_pairs(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (src, dst) that may reach the similarity by their sketches (node, n, sketch): none that does is left out."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for m, x, n, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                both = overlap.shared_at_most(x, y, m, n)
+                keep.append(both >= similarity * (m + n - both) - overlap.SLACK)
+            yield b.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    met = pairs.join(sketches.toDF("src", "m", "x"), "src").join(sketches.toDF("dst", "n", "y"), "dst")
+    return met.select("src", "dst", "m", "x", "n", "y").mapInArrow(compare, "src long, dst long")
 
 
 def common_shingles(texts: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -287,68 +306,124 @@ def common_shingles(texts: DataFrame, shingle_words: int) -> tuple[np.ndarray, n
     return h[order], n[order]
 
 
-def shingle_prefixes(texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """``(id, th, node, n, prefix)``: node names the set of distinct shingles, n is its size."""
+def shingle_sets(texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """``(id, th, node, fp, n, sketch, prefix)``: node names the set of distinct shingles, fp is its SimHash, n its size."""
     common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, shingle_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(words(t), shingle_words)) for t in b.column(2).to_pylist()]
-            nodes = [signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets]
-            firsts = [overlap.prefix(s, *common.value, similarity).view(np.int64) for s in sets]
-            cols = [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "th", "node", "n", "prefix"])
-
-    schema = texts.select("id", "th").schema.add("node", "long").add("n", "long").add("prefix", ArrayType(LongType()))
+            made = {
+                "node": pa.array([signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets], pa.int64()),
+                "fp": pa.array([signed(majority(s)) for s in sets], pa.int64()),
+                "n": pa.array([len(s) for s in sets], pa.int64()),
+                "sketch": pa.array(map(overlap.sketch, sets), pa.binary()),
+                "prefix": pa.array([overlap.prefix(s, *common.value, similarity).view(np.int64) for s in sets], pa.list_(pa.int64())),
+            }
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made.values()], names=["id", "th", *made])
+
+    schema = texts.select("id", "th").schema.add("node", "long").add("fp", "long").add("n", "long").add("sketch", "binary").add("prefix", ArrayType(LongType()))
     return texts.select("id", "th", F.col("text").cast("binary").alias("_bytes_")).mapInArrow(run, schema)
 
 
-def near_duplicate_filter(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+def simhash_candidates(nodes: DataFrame, radius: int) -> DataFrame:
+    """``(src, dst)`` from ``nodes`` (node, fp): each node with the least of its fingerprint, and those of linked fingerprints."""
+    classes = cut(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("members")), "fpclass")
+    near = links(classes.select(F.col("fp").alias("node"), "fp"), radius)
+    name = classes.select(F.col("fp"), "least")
+    between = near.join(name.toDF("src", "a"), "src").join(name.toDF("dst", "b"), "dst").select("a", "b")
+    inside = nodes.join(classes.where("members > 1"), "fp").where("node <> least").select("least", "node")
+    return between.union(inside).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+
+
+def prefix_members(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(key, node, pos, n)`` of every prefix hash that several sets hold."""
+    alone = sets.join(nodes.select("node", F.col("k.id").alias("kid"), F.col("k.th").alias("kth")), "node").where("id <=> kid and th = kth").dropDuplicates(["node"])
+    spread = alone.select(F.posexplode("prefix").alias("pos", "key"), "node", "n").select("key", "node", F.col("pos").cast("int").alias("pos"), F.col("n").cast("int").alias("n"))
+    spread = cut(spread, "prefixes")
+    often = cut(spread.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("key").alias("h")), "often")
+    member = membership_filter(often)
+    # a filter of bounded size leaves few hashes that one set alone holds
+    out = cut(spread.where(member("key") if member is not None else F.lit(False)).join(often.withColumnRenamed("h", "key"), "key"), "members")
+    discard(spread, often)
+    return out
+
+
+def _hubs(members: DataFrame) -> DataFrame:
+    """Of each hash the member with most links (of equals the greatest node)."""
+    return members.groupBy("key").agg(F.max(F.struct("links", "node", "pos", "n", "component")).alias("y"))
+
+
+def _apart(a: str, b: str, similarity: float) -> Column:
+    return (F.col(f"{a}.component") != F.col(f"{b}.component")) & overlap.may_reach(a, b, similarity)
+
+
+def near_duplicate_links(sets: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], similarity: float, radius: int) -> DataFrame:
+    """``(node, component)`` of all pairs that ``verify`` passes; nodes without a link are left out.
+
+    Two rounds. The first compares what SimHash brings together and, of each prefix hash, one member with
+    the others; the second all pairs of a hash that are in different components still, apart from pairs
+    within the component of the hash's best linked member. Both join by hash, so that a hot one can be split.
+    """
+    members = prefix_members(sets, nodes)
+    begun = cut(simhash_candidates(nodes, radius), "met")
+    degree = begun.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    known = members.join(degree, "node", "left").select("key", "node", "pos", "n", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.col("node").alias("component"))
+    pair = lambda df, a, b: df.select(F.least(f"{a}.node", f"{b}.node").alias("src"), F.greatest(f"{a}.node", f"{b}.node").alias("dst"))
+    known = cut(known, "known")
+    first = pair(known.alias("x").join(_hubs(known), "key").where(_apart("x", "y", similarity)), "x", "y")
+    tested = cut(first.union(begun).distinct(), "pairs")
+    linked = verify(tested)
+    near = cut(connected_components(linked), "near")
+    degree = linked.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    state = near.join(degree, "node")
+    discard(known)
+    known = cut(members.join(state, "node", "left").select("key", "node", "pos", "n", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("component", "node").alias("component")), "known")
+    hubs = cut(_hubs(known).select("key", F.col("y.component").alias("main")), "hubs")
+    placed = known.join(hubs, "key")
+    others = placed.where("component <> main")
+    once = (F.col("x.node") < F.col("z.node")) | (F.col("z.component") == F.col("z.main"))
+    met = others.alias("x").join(placed.alias("z"), F.col("x.key") == F.col("z.key")).where(once & _apart("x", "z", similarity))
+    rest = cut(pair(met, "x", "z").distinct().join(tested, ["src", "dst"], "left_anti"), "pairs")
+    more = verify(rest)
+    out = cut(connected_components(linked.union(more)), "near")
+    discard(members, begun, tested, linked, near, known, hubs, rest, more)
+    return out
+
+
+def near_duplicate_filter(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays.
 
     Groups are the components of all pairs whose distinct ``shingle_words``-word shingles have a Jaccard
-    ``similarity`` or more. Candidates meet by the prefixes of their sets (see ``overlap``), which misses no
-    such pair, and are compared exactly. Texts with no word are never near-duplicates of each other and stay.
-    Rows that repeat both id and text stay or go together; null ids come last. Columns are those of ``docs``.
+    ``similarity`` or more. Covering masks bring together all pairs whose SimHashes over these shingles differ
+    by ``radius`` bits or fewer; at 0.8 about ten of 64 bits differ, which no workable number of masks covers,
+    so prefix filtering (see ``overlap``) finds the pairs beyond. Every candidate is compared exactly and no
+    pair is missed. Texts with no word are never near-duplicates of each other and stay. Rows that repeat
+    both id and text stay or go together; null ids come last. Columns are those of ``docs``.
     """
+    docs, (id, text), restored = plain_columns(docs, id, text)
     tagged = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    sig = cut(shingle_prefixes(tagged, shingle_words, similarity), "sig")
-
-    def met(rows: DataFrame, step) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(overlap.runs(step, similarity), overlap.SCHEMA)
+    sets = cut(shingle_sets(tagged, shingle_words, similarity), "sets")
+    nodes = cut(sets.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("k"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("rows")), "nodes")
 
-    def similar(pairs: DataFrame) -> DataFrame | None:
+    def verify(pairs: DataFrame) -> DataFrame:
+        likely = cut(possible_pairs(pairs, nodes.select("node", "n", "sketch"), similarity), "likely")
         # one text for each end of a pair; a filter of bounded size lets few other texts through
-        ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        shown = cut(ends.join(sig.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th")).alias("k")), "node").select("node", F.xxhash64("k.id", "k.th").alias("h")), "ends")
+        ends = likely.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        shown = cut(ends.join(nodes, "node").select("node", F.xxhash64("k.id", "k.th").alias("h")), "ends")
         member = membership_filter(shown.select("h").distinct())
         if member is None:
-            return None
+            return likely
         texts = tagged.withColumn("h", F.xxhash64("id", "th")).where(member("h")).select("h", "text").join(shown, "h").select("node", "text").dropDuplicates(["node"])
-        return cut(similar_pairs(pairs, texts, shingle_words, similarity), "links")
-
-    pair = lambda rows: rows.where("kind = 0").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-    points = sig.select("node", "n", "prefix").dropDuplicates(["node"])
-    first = points.select(F.posexplode("prefix").alias("pos", "key"), "node", "n").select("key", "node", F.col("pos").cast("long").alias("pos"), "n")
-    begun = cut(met(first, overlap.neighbours), "met")
-    tested = cut(pair(begun), "pairs")
-    links = similar(tested)
-    wide = begun.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "pos", "n")
-    near = connected_components(links) if links is not None else None
-    for step in (overlap.hubs, overlap.all_apart):
-        if near is None:
-            apart = wide.withColumn("component", F.col("node")).withColumn("links", F.lit(0).cast("long"))
-        else:
-            ends = links.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-            known = near.join(ends, "node", "left")
-            apart = wide.join(known, "node", "left").select("key", "node", "pos", "n", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-        pairs = cut(pair(met(apart, step)).join(tested, ["src", "dst"], "left_anti"), "pairs")
-        more = similar(pairs)
-        tested = tested.union(pairs)
-        if more is not None:
-            links = more if links is None else links.union(more)
-            near = connected_components(links)
-    grouped = sig.select("id", "th", F.col("node").alias("root")) if near is None else sig.join(near, "node", "left").select("id", "th", F.coalesce("component", "node").alias("root"))
-    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th")).alias("k"), F.count("*").alias("rows")).where("rows > 1")
-    gone = cut(grouped.join(best, "root").where("not (id <=> k.id and th = k.th)").select(F.xxhash64("id", "th").alias("h"), F.col("id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct(), "gone")
-    return without(docs, gone, F.xxhash64(F.col(id), F.xxhash64(F.col(text))), lambda d: d[id].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(d[text]) == gone["_gone_th"]))
+        found = similar_pairs(likely, texts, shingle_words, similarity)
+        discard(likely, shown)
+        return found
+
+    near = near_duplicate_links(sets, nodes, verify, similarity, radius)
+    grouped = nodes.join(near, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    best = grouped.groupBy("root").agg(F.min("k").alias("best"), F.sum("rows").alias("all")).where("all > 1")
+    bad = cut(grouped.join(best, "root").select("node", "best"), "groups")
+    gone = sets.select("id", "th", "node").join(bad, "node").where("not (id <=> best.id and th = best.th)")
+    gone = cut(gone.select(F.xxhash64("id", "th").alias("h"), F.col("id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct(), "gone")
+    discard(sets, nodes, bad)
+    return restored(without(docs, gone, F.xxhash64(F.col(id), F.xxhash64(F.col(text))), lambda d: d[id].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(d[text]) == gone["_gone_th"])))
