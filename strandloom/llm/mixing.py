@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandloom.plans.runtime import plain_columns
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Multipliers of a source's weight at points of training time, for each weight: light sources fade, heavy ones grow.
 SCHEDULES = {1: [(0.0, 1.5), (0.5, 1.0), (1.0, 0.5)], 2: [(0.0, 1.0), (1.0, 1.0)], 3: [(0.0, 0.5), (0.5, 1.0), (1.0, 1.5)]}
@@ -65,16 +67,21 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     rerun gives the same (rows that agree in id and size may swap). An empty table gives no rows. Columns of
     ``docs`` with the names of results are replaced.
     """
-    made = ["size", "source_size", "target", "taken", "whole", "part", "position", "weight"]
-    base = docs.drop(*[c for c in made if c in docs.columns and c not in (id, text, source)])
+    made = ["size", "source_size", "target", "taken", "whole", "part", "position"]
+    kept = [c for c in docs.columns if c not in made or c in (id, text, source)]
+    base, (id, text, source), _ = plain_columns(docs.select(*kept), id, text, source)
     key = F.md5(F.concat_ws(":", F.coalesce(F.col(id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")))), F.col("size").cast("string")))
-    rows = base.withColumn("size", words_in(text)).withColumn("_key", key).withColumn("_lot", F.substring("_key", 1, 3)).withColumn("_src", F.col(source))
+    # one plain key without nulls, so that the window's partitioning serves the join too and texts move once
+    of = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+    rows = base.withColumn("size", words_in(text)).withColumn("_key", key).withColumn("_lot", F.substring("_key", 1, 3)).withColumn("_src", of)
     lots = rows.groupBy("_src", "_lot").agg(F.sum("size").alias("n"))
-    targets = source_targets(lots.groupBy(F.col("_src").alias("source")).agg(F.sum("n").alias("source_size")), most)
+    named = F.when(F.col("_src") != "", F.expr("substring(_src, 2)"))
+    targets = source_targets(lots.groupBy("_src").agg(F.sum("n").alias("source_size")).select(named.alias("source"), "source_size"), most)
+    targets = targets.withColumn("_src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).drop("source")
     earlier = W.partitionBy("_src").orderBy("_lot").rowsBetween(W.unboundedPreceding, -1)
-    starts = lots.withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(targets.withColumnRenamed("source", "_s"), F.col("_src").eqNullSafe(F.col("_s"))).select(F.col("_src").alias("_s"), F.col("_lot").alias("_l"), "_before", "source_size", "weight", "target")
+    starts = lots.withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(targets, "_src").select("_src", "_lot", "_before", "source_size", "weight", "target")
     inside = W.partitionBy("_src", "_lot").orderBy("_key", id).rowsBetween(W.unboundedPreceding, -1)
-    met = rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_lot") == F.col("_l")))
+    met = rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["_src", "_lot"])
     met = met.withColumn("_at", F.col("_before") + F.col("_in")).withColumn("_words", F.floor("target"))
     met = met.withColumn("whole", F.when(F.col("source_size") > 0, F.expr("_words div source_size")).otherwise(F.lit(0)).cast("long"))
     met = met.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_words") - F.col("whole") * F.col("source_size") - F.col("_at"))).cast("long"))
@@ -89,7 +96,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
             out = at if out is None else F.when(F.col("weight") == w, at).otherwise(out)
         return out
 
-    return met.withColumn("position", F.transform(copies, place)).select(*base.columns, *[c for c in made if c != "weight"])
+    return met.withColumn("position", F.transform(copies, place)).select(*base.columns, *made).toDF(*kept, *made)
 
 
 def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars") -> DataFrame:
@@ -98,11 +105,13 @@ def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", sou
     The document in which a source reaches its target appears once cut after its last word taken, with
     ``n_chars`` counted anew. Documents of which nothing is taken are left out.
     """
-    mixed = mix(docs, id, text, source).where("taken > 0")
+    plain, (id, text, source), restored = plain_columns(docs, id, text, source)
+    mixed = mix(plain, id, text, source).where("taken > 0")
     copies = mixed.select("*", F.posexplode("position").alias("_copy", "_time"))
     cut_here = (F.col("_copy") == F.col("whole")) & (F.col("part") < F.col("size"))
     head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("part").cast("int")), "")
     out = copies.withColumn(text, F.when(cut_here, head).otherwise(F.col(text)))
     if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(cut_here, F.length(text).cast("long")).otherwise(F.col(n_chars)))
-    return out.orderBy("_time", id, "_copy").select(*docs.columns)
+        n = f"c{docs.columns.index(n_chars)}"
+        out = out.withColumn(n, F.when(cut_here, F.length(text).cast("long")).otherwise(F.col(n)))
+    return restored(out.orderBy("_time", id, "_copy"))
