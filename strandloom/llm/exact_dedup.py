@@ -17,10 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.plans.runtime import cut
+from strandloom.plans.runtime import cut, discard, plain_columns
 
 #: Hashes that a sender gathers before it sends, and hashes that an owner decodes at once, about.
-BLOCK, OWNED = 1 << 19, 1 << 20
+BLOCK, OWNED = 1 << 20, 1 << 22
+#: A group with more than one in so many rows is hot; so many are, at most.
+HOT = 4096
 #: Bits of the suspect filter: 16 for each suspect, so many at most (32 MB). More suspects only make it pass more rows.
 FILTER_BITS = 1 << 28
 
@@ -152,19 +154,27 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     """
     texts = docs.select(F.col(id).alias("id"), normalised(text).alias("text"))
     digest = cut(texts.select("id", F.xxhash64("text").alias("h"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.monotonically_increasing_id().alias("row")), "digest")
-    suspects = suspect_hashes(digest, digest.count())
+    rows = digest.count()
+    suspects = suspect_hashes(digest, rows)
     member = membership_filter(suspects)
+    schema = ["id", "keep_id", "group_size", "kept", "text_sha256"]
+    alone = lambda d: d.select("id", "id", F.lit(1).cast("long"), F.lit(True), "sha").toDF(*schema)
     if member is None:
-        return digest.select(F.col("id").alias(id), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
+        return alone(digest).withColumnsRenamed({"id": id})
     # byte verification: partial aggregation merges the copies in each partition before the shuffle
     shuffled = texts.select("text", F.xxhash64("text").alias("h")).where(member("h"))
     verified = shuffled.groupBy("h", "text").agg(F.count("*").alias("n")).where("n > 1").select(F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "n")
-    firsts = digest.where(member("h")).groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
-    # written first, so that the join below stands on plain exchanges and a hot group's rows can be split
+    some = digest.where(member("h"))
+    firsts = some.groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
     groups = cut(verified.join(firsts, "sha").select("sha", "n", "first.id", "first.row").toDF("sha", "n", "keep", "first_row"), "groups")
-    named = digest.join(groups, "sha", "left")
+    # rows of hot groups, of which there are HOT at most, stay where they are; the others meet their group by hash
+    hot = F.col("n") * HOT > rows
+    near = some.join(F.broadcast(groups.where(hot)), "sha", "left")
+    far = near.where("n is null").select(*some.columns).join(groups.where(~hot), "sha", "left")
     single = F.col("n").isNull()
-    return named.select(F.col("id").alias(id), F.when(single, F.col("id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), (single | (F.col("row") == F.col("first_row"))).alias("kept"), F.col("sha").alias("text_sha256"))
+    told = [F.col("id"), F.when(single, F.col("id")).otherwise(F.col("keep")), F.coalesce("n", F.lit(1)).cast("long"), single | (F.col("row") == F.col("first_row")), F.col("sha")]
+    named = [d.select(*told).toDF(*schema) for d in (near.where("n is not null"), far)]
+    return alone(digest.where(~member("h"))).union(named[0]).union(named[1]).withColumnsRenamed({"id": id})
 
 
 def without(docs: DataFrame, gone: DataFrame, key: Column, same) -> DataFrame:
@@ -184,6 +194,7 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 
     Of rows that repeat both id and normalised text, or whose ids are all null, any one stays.
     """
+    docs, (id, text), restored = plain_columns(docs, id, text)
     sha = lambda d: F.sha2(normalised(d[text]).cast("binary"), 256)
     lost = exact_groups(docs, id, text).where("not kept").select(F.col(id).alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"), F.col(id).eqNullSafe(F.col("keep_id")).alias("_again_")).distinct()
     lost = cut(lost.withColumn("h", F.xxhash64("_gone_id")), "gone")
@@ -193,7 +204,7 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     left = without(docs, gone, key, lambda d: same(d, gone))
     member = membership_filter(twice.select("h").distinct())
     if member is None:
-        return left
+        return restored(left)
     some, twice = left.where(member(key)), twice.select("_gone_id", "_gone_sha")
     once = some.join(twice, same(some, twice)).dropDuplicates(["_gone_id", "_gone_sha"]).drop("_gone_id", "_gone_sha")
-    return left.where(~member(key)).union(some.join(twice, same(some, twice), "left_anti")).union(once)
+    return restored(left.where(~member(key)).union(some.join(twice, same(some, twice), "left_anti")).union(once))
