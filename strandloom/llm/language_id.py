@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.training import bounded_sample, remainder
-from strandloom.plans.runtime import cut
+from strandloom.plans.runtime import plain_columns
 
 DIM = 1 << 15
 #: Rows that the weights and the temperature are fitted on, at most.
@@ -120,7 +120,7 @@ def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
 def fit(docs: DataFrame, id: str, text: str, lang: str, most: int = SAMPLE, epochs: int = 3) -> dict | None:
     """A model from all rows of ``docs`` that have a language; None without any."""
     known = docs.where(F.col(lang).isNotNull())
-    sample = bounded_sample(known.where(F.col(text).rlike(_HAS_LETTER)).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")), "id", most).toPandas()
+    sample = bounded_sample(known.where(F.col(text).rlike(_HAS_LETTER)).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")), most, of="lang").toPandas()
     if not len(sample):
         return None
     df, n = document_frequencies(known, text)
@@ -189,9 +189,6 @@ def language_filter(docs: DataFrame, id: str = "doc_id", text: str = "text", lan
 
     Rejected: null texts, texts without a letter, and texts between languages.
     """
-    columns = docs.columns
-    plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
-    at = {c: f"c{i}" for i, c in enumerate(columns)}
-    model = fit(plain.where(remainder(at[id], 3) != 1), at[id], at[text], at[lang])
-    kept = identify(plain, model, plain.columns, at[text]).where(F.col("lang_pred") != UNKNOWN).where(F.col("score") >= least)
-    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+    plain, (id, text, lang), restored = plain_columns(docs, id, text, lang)
+    model = fit(plain.where(remainder(id, 3) != 1), id, text, lang)
+    return restored(identify(plain, model, plain.columns, text).where(F.col("lang_pred") != UNKNOWN).where(F.col("score") >= least))

@@ -163,8 +163,9 @@ def quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     """
     own = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     marks = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
-    chosen = bounded_sample(marks.where(remainder("id", 5) != 0), "id", SAMPLE)  # labels first: only their texts move
-    sample = own.join(F.broadcast(chosen), "id").toPandas().sort_values(["id", "text"])  # SAMPLE rows, about, at most
+    chosen = bounded_sample(marks.where(remainder("id", 5) != 0), SAMPLE)  # labels first: only their texts move
+    # an id may repeat: SAMPLE rows at most come to the driver, and the join's broadcast has SAMPLE rows too
+    sample = bounded_sample(own.join(F.broadcast(chosen), "id"), SAMPLE).toPandas().sort_values(["id", "text"])
     model = fit(sample["text"].tolist(), sample["label"].to_numpy(float))
     base = float(sample["label"].mean()) if len(sample) else 0.0
 

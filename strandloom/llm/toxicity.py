@@ -7,6 +7,7 @@ from; trees and calibration are fitted on a bounded sample.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,37 +26,40 @@ LEXICON = "idiot moron stupid loser trash scum pathetic worthless disgusting clo
 SECOND_PERSON = "you your yours yourself ya u du dich dir dein deine ihr euch sie tu te ti tus usted ustedes vos toi ton ta tes vous votre vos".split()
 #: Words of the learned lexicon, at most.
 LEARNED = 200
+#: Words that may be broadcast; more are joined by a shuffle.
+BROADCAST = 100_000
 NEAR = 6
 _WORD = re.compile(r"[^\W_]+")
 _LEET = str.maketrans("013457@$!|", "oieastasil")
-_ODD = re.compile(r"\S*[^\W\d_]\S*[0134578@$!|*.\-_]\S*[^\W\d_]\S*")
-_UPPER = re.compile(r"[^\W\d_]")
+#: Marks and digits between letters.
+_ODD = re.compile(r"[^\W\d_][0134578@$!|*.\-_]+[^\W\d_]")
+_GONE = re.compile(r"[*.\-_]")
 
 
 def features(text: str, learned: frozenset[str]) -> list[float]:
     """Of one whole text; empty texts have zeros."""
     tokens = _WORD.findall(text.lower())
-    n = len(tokens)
-    fixed, second = _FIXED, _SECOND
-    hits = [i for i, t in enumerate(tokens) if t in fixed]
-    more = [i for i, t in enumerate(tokens) if t in learned]
-    near = 0
-    kinds = {tokens[i] for i in hits}
-    for i in hits:
-        if not second.isdisjoint(tokens[max(0, i - NEAR) : i + NEAR + 1]):
-            near += 1
+    n, kinds = len(tokens), set(tokens)
+    fixed = _FIXED & kinds
+    hits = [i for i, t in enumerate(tokens) if t in fixed] if fixed else []
+    more = sum(map(tokens.count, learned & kinds)) if n < 500 else sum(map(learned.__contains__, tokens))
+    near = sum(not _SECOND.isdisjoint(tokens[max(0, i - NEAR) : i + NEAR + 1]) for i in hits)
     odd = masked = 0
-    for w in _ODD.findall(text):
-        odd += 1
-        plain = _WORD.findall(re.sub(r"[*.\-_]", "", w.lower()).translate(_LEET))
-        masked += any(p in fixed or p in learned for p in plain) and not any(p in fixed or p in learned for p in _WORD.findall(w.lower()))
+    if _ODD.search(text):
+        for w in text.split():
+            if not _ODD.search(w):
+                continue
+            odd += 1
+            low = w.lower()
+            plain = _WORD.findall(_GONE.sub("", low).translate(_LEET))
+            masked += any(p in _FIXED or p in learned for p in plain) and not any(p in _FIXED or p in learned for p in _WORD.findall(low))
     chars = max(1, len(text))
     upper = sum(map(str.isupper, text)) if len(text) < 64 else _upper(text)
-    gap = float(np.diff(hits).min()) if len(hits) > 1 else 1e4
+    gap = float(min(b - a for a, b in zip(hits, hits[1:], strict=False))) if len(hits) > 1 else 1e4
     marks = text.count("!") + text.count("?")
-    symbols = sum(text.count(c) for c in "#$%&*|")
+    symbols = sum(map(text.count, "#$%&*|"))
     m = max(1, n)
-    return [len(hits), len(hits) / m, len(kinds), len(more), len(more) / m, near, near / m, gap, upper / chars, marks / chars, symbols / chars, odd / m, masked, masked / m, np.log1p(n), len(set(tokens)) / m]
+    return [len(hits), len(hits) / m, len(fixed), more, more / m, near, near / m, gap, upper / chars, marks / chars, symbols / chars, odd / m, masked, masked / m, math.log1p(n), len(kinds) / m]
 
 
 def _upper(text: str) -> int:
@@ -83,7 +87,9 @@ def learn_lexicon(labelled: DataFrame, most: int = LEARNED) -> list[str]:
     p, rest = totals["p"], totals["n"] - totals["p"]
     count = lambda rows: rows.select(F.explode("words").alias("w")).where("w <> ''")
     often = cut(count(labelled.where("label = 1")).groupBy("w").agg(F.count("*").alias("a")).where(F.col("a") >= max(3, 0.02 * p)), "often")
-    others = count(labelled.where("label = 0")).join(F.broadcast(often.select("w")), "w").groupBy("w").agg(F.count("*").alias("b"))
+    wanted = often.select("w")
+    wanted = F.broadcast(wanted) if often.count() <= BROADCAST else wanted
+    others = count(labelled.where("label = 0")).join(wanted, "w").groupBy("w").agg(F.count("*").alias("b"))
     odds = ((F.col("a") + 0.5) / p) / ((F.coalesce("b", F.lit(0)) + 0.5) / rest)
     best = often.join(others, "w", "left").withColumn("odds", odds).where("odds >= 10").orderBy(F.desc("odds"), "w").limit(most)
     return [r["w"] for r in best.select("w").collect()]
@@ -148,7 +154,7 @@ class Trees:
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> dict | None:
-    """Trees on four fifths, isotonic calibration on scores that five-fold models give rows they did not see."""
+    """Trees on all rows; isotonic calibration on scores that five-fold models give rows they did not see."""
     if not len(y) or y.min() == y.max():
         return None
     fold = np.random.default_rng(3).permutation(len(y)) % 5
@@ -194,7 +200,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     kind = own.schema["id"].dataType
     dense = cut(own.mapInArrow(run, own.select("id").schema.add("x", T.ArrayType(T.DoubleType()))), "toxic")
     assert dense.schema["id"].dataType == kind
-    sample = bounded_sample(dense.where(remainder("id", 3) != 1).join(marks, "id"), "id").toPandas().sort_values("id")
+    sample = bounded_sample(dense.where(remainder("id", 3) != 1).join(marks, "id")).toPandas().sort_values(["id", "label"], kind="stable")
     x = np.array(sample["x"].tolist(), float).reshape(-1, N_FEATURES)
     y = sample["label"].to_numpy(float)
     model = _fit(x, y)

@@ -14,13 +14,25 @@ def remainder(id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def bounded_sample(rows: DataFrame, id: str, most: int = SAMPLE) -> DataFrame:
-    """At most about ``most`` rows, by a hash of the id: the same rows in every run. Only for fitting."""
+def bounded_sample(rows: DataFrame, most: int = SAMPLE, of: str | None = None) -> DataFrame:
+    """``most`` rows at most, by a hash of all their columns: the same in every run. Only for fitting.
+
+    Rows that are alike in all columns are drawn alike, up to ``most``. Of each value of the column ``of``
+    at least a quarter of an equal share is drawn, so that rare values are there too.
+    """
     n = rows.count()
     if n <= most:
         return rows
-    scale = 1 << 30
-    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), id), F.lit(scale)) < int(scale * most / n))
+    scale, share = 1 << 30, 1.1 * most / n
+    drawn = F.lit(share)
+    if of:
+        times = rows.groupBy(of).count().orderBy(F.desc("count"), of).limit(most).collect()  # most values at most
+        few = [(r[of], min(1.0, most / (4 * len(times) * r["count"]))) for r in times]
+        few = [(v, s) for v, s in few if s > share]
+        if few:
+            drawn = F.greatest(drawn, F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in few for x in pair]), F.col(of)), F.lit(0.0)))
+    key = F.pmod(F.xxhash64(F.lit("sample"), *rows.columns), F.lit(scale))
+    return rows.withColumn("_draw_", key).where(F.col("_draw_") < drawn * scale).orderBy(F.col("_draw_") / drawn, *rows.columns).limit(most).drop("_draw_")
 
 
 def isotonic(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
