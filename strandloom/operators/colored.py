@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandloom.functions.seq import PIECE, canon, check_k, is_reverse, pieces, windows
+from strandloom.functions.packed import placed_kmers
+from strandloom.functions.seq import check_k
 from strandloom.operators.dbg import DeBruijn, from_paths, spelled_chunks
-from strandloom.operators.model import DeBruijnError, Graph, dense_rank_of
+from strandloom.operators.model import Graph, dense_rank_of
 from strandloom.operators.unitigs import Unitigs, compact
-from strandloom.plans.runtime import cut
+from strandloom.plans.runtime import cut, ready
 
 
 @dataclass(frozen=True)
@@ -38,30 +39,35 @@ def _with_paths(g: Graph, k: int, segments: DataFrame, walks: DataFrame) -> Grap
     return g.with_(paths=paths, steps=walks.select(F.col("seg_idx").alias("path_idx"), "pos", "node_id", "is_rev"))
 
 
-def path_windows(g: Graph, k: int) -> DataFrame:
-    """``(path_idx, at, w)``: every gap-free k-mer of every path with its base offset."""
-    text = spelled_chunks(g, k - 1).withColumn("t", F.upper(F.concat("ctx", "text"))).withColumn("from", F.col("start") - F.length("ctx"))
-    parts = text.select("path_idx", "from", F.posexplode(pieces(F.col("t"), k)).alias("j", "part"))
-    cuts = parts.select("path_idx", (F.col("from") + F.col("j") * PIECE).alias("from"), F.posexplode(windows(F.col("part"), k)).alias("i", "w"))
-    return cuts.where(F.length(F.translate("w", "ACGT", "")) == 0).select("path_idx", (F.col("from") + F.col("i")).alias("at"), "w")
+def path_kmers(g: Graph, k: int) -> DataFrame:
+    """``(path_idx, chunk, at, h, l, is_rev, starts)``: every gap-free k-mer of every path with its base offset; whether a segment begins there."""
+    ready(g.spark)
+    # a gap before a path's first base, so that each k-mer has a character before it
+    text = spelled_chunks(g, k).withColumn("first", F.length("ctx") < k)
+    text = text.select("path_idx", "chunk", (F.col("start") - F.length("ctx") - F.col("first").cast("int")).alias("at"), F.concat(F.when(F.col("first"), "-").otherwise(""), "ctx", "text").alias("text"))
+    return placed_kmers(text, k)
 
 
 def color(g: Graph, k: int) -> Colored:
     check_k(k)
     dbg = from_paths(g, k)
-    found = path_windows(g, k).select("path_idx", "at", canon(F.col("w")).alias("kmer"), is_reverse(F.col("w")).alias("is_rev"))
-    w = W.partitionBy("path_idx").orderBy("at")
-    starts = F.when(F.lag("at").over(w) == F.col("at") - 1, 0).otherwise(1)
-    met = cut(found.join(dbg.nodes, "kmer").withColumn("starts", starts).withColumn("seg", F.sum("starts").over(w)).select("path_idx", "seg", "at", "node_id", "is_rev"), "colored")
+    found = cut(path_kmers(g, k), "pathkmers")
+    # the last start before each chunk, from one row a chunk; inside a chunk a running maximum
+    last = found.where("starts").groupBy("path_idx", "chunk").agg(F.max("at").alias("last"))
+    every = found.select("path_idx", "chunk").distinct().join(last, ["path_idx", "chunk"], "left")
+    carried = every.select("path_idx", "chunk", F.max("last").over(W.partitionBy("path_idx").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    inside = F.max(F.when(F.col("starts"), F.col("at"))).over(W.partitionBy("path_idx", "chunk").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+    owned = found.withColumn("inside", inside).join(carried, ["path_idx", "chunk"]).withColumn("at0", F.coalesce("inside", "carried"))
+    met = cut(owned.join(dbg.packed.select("h", "l", "node_id"), ["h", "l"]).select("path_idx", "at0", "at", "node_id", "is_rev"), "colored")
     side = F.struct("at", "node_id", "is_rev")
-    segs = met.groupBy("path_idx", "seg").agg(F.min(side).alias("f"), F.max(side).alias("l"), F.count("*").alias("n_kmers"))
-    many = W.partitionBy("path_idx")
-    named = segs.join(g.paths.select("path_idx", F.col("name").alias("path")), "path_idx").withColumn("parts", F.count("*").over(many))
-    named = named.withColumn("name", F.when(F.col("parts") == 1, F.col("path")).otherwise(F.concat("path", F.lit("."), F.col("seg").cast("string"))))
-    named = named.withColumn("seg_idx", (F.row_number().over(W.orderBy("path", "seg")) - 1).cast("long"))
-    segments = cut(named.select("seg_idx", "path_idx", "name", F.col("f.node_id").alias("first_id"), F.col("f.is_rev").alias("first_rev"), F.col("l.node_id").alias("last_id"), F.col("l.is_rev").alias("last_rev"), "n_kmers", "seg", F.col("f.at").alias("at0")), "segments")
-    walks = met.join(segments.select("path_idx", "seg", "seg_idx", "at0"), ["path_idx", "seg"]).select("seg_idx", (F.col("at") - F.col("at0")).alias("pos"), "node_id", "is_rev")
-    return Colored(dbg, segments.drop("seg", "at0"), walks)
+    segs = met.groupBy("path_idx", "at0").agg(F.min(side).alias("f"), F.max(side).alias("l"), F.count("*").alias("n_kmers"))
+    own = W.partitionBy("path_idx")
+    named = segs.join(g.paths.select("path_idx", F.col("name").alias("path")), "path_idx").withColumn("parts", F.count("*").over(own)).withColumn("seg", F.row_number().over(own.orderBy("at0")))
+    named = named.withColumn("name", F.when(F.col("parts") == 1, F.col("path")).otherwise(F.concat("path", F.lit("."), F.col("seg").cast("string")))).withColumn("key", F.struct("path", "seg"))
+    numbered = dense_rank_of(named, "key", "seg_idx")
+    segments = cut(numbered.select("seg_idx", "path_idx", "name", F.col("f.node_id").alias("first_id"), F.col("f.is_rev").alias("first_rev"), F.col("l.node_id").alias("last_id"), F.col("l.is_rev").alias("last_rev"), "n_kmers", "at0"), "segments")
+    walks = met.join(segments.select("path_idx", "at0", "seg_idx"), ["path_idx", "at0"]).select("seg_idx", (F.col("at") - F.col("at0")).alias("pos"), "node_id", "is_rev")
+    return Colored(dbg, segments.drop("at0"), walks)
 
 
 def compact_colored(c: Colored) -> tuple[Unitigs, Graph]:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandloom.functions.seq import canon, check_k, is_reverse, oriented, pieces, rc, runs, windows
+from strandloom.functions.packed import distinct_words, halves, is_palindrome, kmer_text
+from strandloom.functions.seq import check_k, oriented, rc, runs
 from strandloom.operators.model import Graph, dense_rank_of
-from strandloom.plans.runtime import cut
+from strandloom.plans.runtime import cut, ready
 
 #: Bases of a path that are spelled in one row, about.
 CHUNK = 1 << 14
@@ -21,30 +22,47 @@ BLOCK = 1 << 12
 class DeBruijn:
     """nodes(node_id, kmer) and edges(edge_idx, kmer1, from_id, from_rev, to_id, to_rev, overlap), ids by sorted rank.
 
-    Edges are numbered and looked up when they are first asked for.
+    k-mers are held as pairs of longs (``packed``: node_id, h, l, palindrome) and spelled when they are asked
+    for. Edges are numbered and looked up when they are first asked for.
     """
 
-    def __init__(self, k: int, nodes: DataFrame, words: DataFrame):
-        self.k, self._words = k, words
-        self.nodes = cut(dense_rank_of(nodes, "kmer", "node_id").select("node_id", "kmer"), "dbgnodes")
+    def __init__(self, k: int, words: DataFrame):
+        """``words`` (h, l, short): distinct (k+1)-mers, and k-mers that no (k+1)-mer holds."""
+        self.k = k
+        self._words = cut(halves(words.where("not short").select("h", "l"), k), "kmer1")
+        either = self._words.select(F.explode(F.array(*(F.struct(F.col(f"{x}h").alias("h"), F.col(f"{x}l").alias("l"), F.col(f"{x}pal").alias("palindrome")) for x in "ab"))).alias("x")).select("x.*")
+        alone = words.where("short").select("h", "l", is_palindrome(k).alias("palindrome"))
+        distinct = either.union(alone).distinct().withColumn("key", F.struct("h", "l"))
+        self.packed = dense_rank_of(distinct, "key", "node_id").select("node_id", "h", "l", "palindrome")
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return self.packed.select("node_id", kmer_text(self.k).alias("kmer"))
+
+    @cached_property
+    def links(self) -> DataFrame:
+        """``(edge_idx, h, l, from_id, from_rev, to_id, to_rev)``: both ends of each (k+1)-mer, looked up by canonical form."""
+        ranked = dense_rank_of(self._words.withColumn("key", F.struct("h", "l")), "key", "edge_idx")
+        one, two = (self.packed.select(F.col("h").alias(f"{x}h"), F.col("l").alias(f"{x}l"), F.col("node_id").alias(to)) for x, to in (("a", "from_id"), ("b", "to_id")))
+        return cut(ranked.join(one, ["ah", "al"]).join(two, ["bh", "bl"]).select("edge_idx", "h", "l", "from_id", "from_rev", "to_id", "to_rev"), "dbgedges")
 
     @cached_property
     def edges(self) -> DataFrame:
-        """Both ends of each (k+1)-mer, looked up by canonical form."""
-        k = self.k
-        ends = dense_rank_of(self._words, "kmer1", "edge_idx").withColumns({"a": F.substring("kmer1", 1, k), "b": F.substring("kmer1", 2, k)})
-        keyed = ends.select("edge_idx", "kmer1", canon(F.col("a")).alias("ka"), is_reverse(F.col("a")).alias("from_rev"), canon(F.col("b")).alias("kb"), is_reverse(F.col("b")).alias("to_rev"))
-        one = self.nodes.select(F.col("kmer").alias("ka"), F.col("node_id").alias("from_id"))
-        two = self.nodes.select(F.col("kmer").alias("kb"), F.col("node_id").alias("to_id"))
-        met = keyed.join(one, "ka").join(two, "kb")
-        return cut(met.select("edge_idx", "kmer1", "from_id", "from_rev", "to_id", "to_rev", F.lit(k - 1).cast("long").alias("overlap")), "dbgedges")
+        return self.links.select("edge_idx", kmer_text(self.k + 1).alias("kmer1"), "from_id", "from_rev", "to_id", "to_rev", F.lit(self.k - 1).cast("long").alias("overlap"))
 
     def counts(self) -> DataFrame:
-        return self.nodes.agg(F.count("*").alias("nodes")).crossJoin(self._words.agg(F.count("*").alias("edges")))
+        return self.packed.agg(F.count("*").alias("nodes")).crossJoin(self._words.agg(F.count("*").alias("edges")))
+
+    def path_count(self) -> int:
+        """A graph without colours has no paths."""
+        return 0
+
+    def path_names(self) -> DataFrame:
+        return self.graph().paths.select("path_idx", "name")
 
     def graph(self) -> Graph:
         """Nodes without names, edges with overlap k - 1, no paths."""
-        spark = self.nodes.sparkSession
+        spark = self.packed.sparkSession
         none = spark.createDataFrame([], "path_idx long, name string, overlaps array<long>")
         return Graph(
             self.nodes.select("node_id", F.col("kmer").alias("seq"), F.lit(None).cast("string").alias("name")),
@@ -101,28 +119,20 @@ def path_node_sequences(g: Graph) -> DataFrame:
     return g.steps.join(g.nodes.select("node_id", "seq"), "node_id").select("path_idx", "pos", F.when(F.col("is_rev"), rc_iupac("seq")).otherwise(F.col("seq")).alias("seq"))
 
 
-def words_of(run_table: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct canonical k-mers and (k+1)-mers of a table of gap-free ``run`` strings.
+def from_texts(texts: DataFrame, text: str, k: int) -> DeBruijn:
+    """The graph of all gap-free k-mers of a column of texts.
 
-    Only (k+1)-mers are cut out of the runs; the k-mers are their two halves, taken after the distinct, and
+    Only (k+1)-mers are cut out of the texts; the k-mers are their two halves, taken after the distinct, and
     runs of exactly k bases.
     """
-    parts = run_table.where(F.length("run") > k).select(F.explode(pieces(F.col("run"), k + 1)).alias("part"))
-    edges = cut(parts.select(F.explode(windows(F.col("part"), k + 1)).alias("w")).select(canon(F.col("w")).alias("kmer1")).distinct(), "kmer1")
-    halves = edges.select(F.explode(F.array(F.substring("kmer1", 1, k), F.substring("kmer1", 2, k))).alias("w"))
-    short = run_table.where(F.length("run") == k).select(F.col("run").alias("w"))
-    nodes = halves.union(short).select(canon(F.col("w")).alias("kmer")).distinct()
-    return nodes, edges
-
-
-def path_runs(g: Graph, k: int) -> DataFrame:
-    return spelled_chunks(g, k).select(F.explode(runs(F.concat("ctx", "text"))).alias("run")).where(F.length("run") >= k)
+    ready(texts.sparkSession)
+    return DeBruijn(k, cut(distinct_words(texts, text, k), "words"))
 
 
 def from_paths(g: Graph, k: int) -> DeBruijn:
     """The graph of all k-mers that the paths spell."""
     check_k(k)
-    return DeBruijn(k, *words_of(path_runs(g, k), k))
+    return from_texts(spelled_chunks(g, k).select(F.concat("ctx", "text").alias("run")), "run", k)
 
 
 def arcs(edges: DataFrame) -> DataFrame:
@@ -164,4 +174,4 @@ def topology_runs(g: Graph, k: int) -> DataFrame:
 def from_topology(g: Graph, k: int) -> DeBruijn:
     """The graph of all k-mers that any walk spells, whether a path takes it or not."""
     check_k(k)
-    return DeBruijn(k, *words_of(topology_runs(g, k), k))
+    return from_texts(topology_runs(g, k), "run", k)

@@ -9,8 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandloom.plans.runtime import cut
+
 NODES = "node_id long, seq string, name string"
 EDGES = "edge_idx long, from_node long, from_rev boolean, to_node long, to_rev boolean, overlap long"
 PATHS = "path_idx long, name string, overlaps array<long>"
@@ -106,16 +109,24 @@ def problems(g: Graph) -> DataFrame:
 def dense_rank_of(df: DataFrame, key: str, to: str, lot: Column | None = None) -> DataFrame:
     """``df`` (distinct non-null keys) with ``to``: the rank of ``key`` from 0 in its sort order.
 
-    Ranks come from row numbers inside lots (leading characters of a string, high bits of a number) and the
-    running sum of lot sizes, so no task sorts the whole table. There are 65,536 lots at most for strings
-    over four letters; numbers share a lot by 4,096.
+    No task sorts the whole table. Integers, and keys with a ``lot`` that ascends with them, get their ranks
+    from row numbers inside lots (numbers share one by 4,096) and the running sum of lot sizes. Other keys
+    are range-partitioned by sampled bounds, whatever their distribution, and written once so that the
+    numbering of partitions stands.
     """
-    from pyspark.sql import Window as W
-
-    kind = dict(df.dtypes)[key]
-    lot = lot if lot is not None else (F.substring(key, 1, 8) if kind == "string" else F.shiftright(key, 12))
-    with_lot = df.withColumn("_lot", lot)
+    if lot is None and dict(df.dtypes)[key] not in ("int", "bigint"):
+        return _range_rank(df, key, to)
+    with_lot = df.withColumn("_lot", lot if lot is not None else F.shiftright(key, 12))
     sizes = with_lot.groupBy("_lot").agg(F.count("*").alias("_n"))
     before = sizes.select("_lot", F.coalesce(F.sum("_n").over(W.orderBy("_lot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.row_number().over(W.partitionBy("_lot").orderBy(key)) - 1
     return with_lot.withColumn("_in", inside).join(before, "_lot").withColumn(to, (F.col("_before") + F.col("_in")).cast("long")).drop("_lot", "_in", "_before")
+
+
+def _range_rank(df: DataFrame, key: str, to: str) -> DataFrame:
+    """By partition and place in it; the table of partition sizes that is broadcast has a row for each partition."""
+    placed = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id())
+    held = cut(placed.withColumn("_lot", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at"), "ranked")
+    sizes = held.groupBy("_lot").agg(F.count("*").alias("_n"))
+    before = sizes.select("_lot", F.coalesce(F.sum("_n").over(W.orderBy("_lot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return held.join(F.broadcast(before), "_lot").withColumn(to, (F.col("_before") + F.col("_in")).cast("long")).drop("_lot", "_in", "_before")

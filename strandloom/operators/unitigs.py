@@ -9,13 +9,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandloom.functions.packed import first_base, kmer_text, last_base
 from strandloom.functions.seq import rc
+from strandloom.operators.components import connected_components
 from strandloom.operators.dbg import DeBruijn
 from strandloom.operators.model import DeBruijnError, Graph, dense_rank_of
-from strandloom.plans.runtime import cut
+from strandloom.plans.runtime import cut, discard
+
+#: Bases of a unitig that are put together in one row first.
+SPELLED = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -29,8 +33,8 @@ class Unitigs:
 
     def graph(self) -> Graph:
         spark = self.unitigs.sparkSession
-        order = W.orderBy("from_id", "from_rev", "to_id", "to_rev")
-        indexed = self.edges.select((F.row_number().over(order) - 1).cast("long").alias("edge_idx"), F.col("from_id").alias("from_node"), "from_rev", F.col("to_id").alias("to_node"), "to_rev", "overlap")
+        keyed = self.edges.withColumn("key", F.struct("from_id", "from_rev", "to_id", "to_rev"))
+        indexed = dense_rank_of(keyed, "key", "edge_idx", F.shiftright("from_id", 12)).select("edge_idx", F.col("from_id").alias("from_node"), "from_rev", F.col("to_id").alias("to_node"), "to_rev", "overlap")
         return Graph(self.unitigs.select(F.col("unitig_id").alias("node_id"), "seq", F.lit(None).cast("string").alias("name")), indexed, spark.createDataFrame([], "path_idx long, name string, overlaps array<long>"), spark.createDataFrame([], "path_idx long, pos long, node_id long, is_rev boolean"), has_names=False)
 
 
@@ -39,7 +43,7 @@ def mirror(side: Column | str) -> Column:
 
 
 def palindromes(d: DeBruijn) -> DataFrame:
-    return d.nodes.where(rc("kmer") == F.col("kmer")).select("node_id") if d.k % 2 == 0 else d.nodes.where("false").select("node_id")
+    return d.packed.where("palindrome").select("node_id")
 
 
 def side_arcs(d: DeBruijn) -> DataFrame:
@@ -47,7 +51,7 @@ def side_arcs(d: DeBruijn) -> DataFrame:
 
     A palindromic k-mer is left on both strands alike and always entered forward.
     """
-    plain = d.edges.select((F.col("from_id") * 2 + F.col("from_rev").cast("long")).alias("x"), (F.col("to_id") * 2 + F.col("to_rev").cast("long")).alias("y"))
+    plain = d.links.select((F.col("from_id") * 2 + F.col("from_rev").cast("long")).alias("x"), (F.col("to_id") * 2 + F.col("to_rev").cast("long")).alias("y"))
     both = plain.union(plain.select(mirror("y").alias("x"), mirror("x").alias("y")))
     if d.k % 2:
         return both.distinct()
@@ -74,35 +78,47 @@ def joins(d: DeBruijn, arcs: DataFrame, blocked_after: DataFrame | None = None)
 
 
 def _doubled(prev: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From ``(side, p)``, p null at a chain's head: ``(side, head, dist, least)`` of chains and ``(side, least)`` of cycles."""
-    now = cut(prev.select("side", F.coalesce("p", "side").alias("ptr"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("dist"), F.when(F.col("p").isNull(), F.col("side")).otherwise(F.least("side", "p")).alias("least"), F.col("p").isNull().alias("done")), "double")
-    done, rounds = None, 0
-    n = now.count()
-    while rounds <= n.bit_length() + 1:
-        # only sides whose pointer is not yet at a head go on
-        ready = now.where("done")
-        done = ready if done is None else done.union(ready)
-        live = now.where("not done")
-        if live.isEmpty():
-            return done, prev.where("false").select("side", F.col("side").alias("least"))
-        base = done.select("side", "ptr", "dist", "least", "done").union(live.select("side", "ptr", "dist", "least", "done")).toDF("q", "ptr2", "dist2", "least2", "done2")
-        now = cut(live.join(base, live.ptr == F.col("q")).select("side", F.col("ptr2").alias("ptr"), (F.col("dist") + F.col("dist2")).alias("dist"), F.least("least", "least2").alias("least"), F.col("done2").alias("done")), "double")
+    """From ``(side, p)``, p null at a chain's head: ``(side, ptr, dist)`` of chains, ptr the head, and ``(side, p)`` of cycles.
+
+    Each round the sides whose pointer is not at a head yet take over the pointer of the side they point to.
+    A chain whose last side has arrived is done and leaves, so that later rounds see the long ones only.
+    """
+    tails = prev.where("p is null").select(mirror("side").alias("side"), F.lit(True).alias("tail"))
+    begun = prev.join(tails, "side", "left")
+    now = cut(begun.select("side", F.coalesce("p", "side").alias("ptr"), F.when(F.col("p").isNull(), 0).otherwise(1).alias("dist"), F.col("p").isNull().alias("done"), F.coalesce("tail", F.lit(False)).alias("tail")), "double")
+    found, rounds, n = [], 0, now.count()
+    while True:
+        ended = now.where("done and tail").select("ptr", F.lit(True).alias("whole"))
+        parted = cut(now.join(ended, "ptr", "left"), "double")
+        discard(now)
+        found.append(parted.where("whole").select("side", "ptr", "dist"))
+        rest = parted.where("whole is null")
+        live = rest.where("not done")
+        if live.isEmpty() or rounds > n.bit_length() + 1:
+            break
+        onward = rest.select(F.col("side").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"))
+        moved = live.join(onward, "ptr").select("side", F.col("ptr2").alias("ptr"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"), "tail")
+        now = cut(rest.where("done").select("side", "ptr", "dist", "done", "tail").union(moved), "double")
         rounds += 1
-    return done.union(now.where("done")), now.where("not done").select("side", "least")
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    return out.withColumn("dist", F.col("dist").cast("long")), live.select("side").join(prev, "side")
 
 
 def chains(d: DeBruijn, links: DataFrame) -> DataFrame:
     """``(side, head, dist, rep)`` of all sides on chains that are spelled; rep is the chain's least node."""
-    sides = d.nodes.select(F.explode(F.array(F.col("node_id") * 2, F.col("node_id") * 2 + 1)).alias("side"))
+    sides = d.packed.select(F.explode(F.array(F.col("node_id") * 2, F.col("node_id") * 2 + 1)).alias("side"))
     prev = cut(sides.join(links.select(F.col("y").alias("side"), F.col("x").alias("p")), "side", "left"), "prev")
     found, cyclic = _doubled(prev)
     if not cyclic.isEmpty():
         # open each cycle before its least node forward, and its mirror likewise
-        rep = cyclic.select(F.shiftright("least", 1).alias("node")).distinct()
-        cuts = rep.select((F.col("node") * 2).alias("y")).join(links, "y").select("x", "y")
+        ring = cut(cyclic, "ring")
+        near = connected_components(ring.select(F.shiftright("side", 1).alias("src"), F.shiftright("p", 1).alias("dst")))
+        cuts = near.select((F.col("component") * 2).alias("y")).distinct().join(links, "y").select("x", "y")
         both = cuts.union(cuts.select(mirror("y").alias("x"), mirror("x").alias("y"))).distinct()
-        ring = cyclic.select("side").join(prev, "side").join(both.select(F.col("y").alias("side"), F.col("x").alias("p"), F.lit(True).alias("gone")), ["side", "p"], "left").select("side", F.when(F.col("gone"), None).otherwise(F.col("p")).alias("p"))
-        opened, rest = _doubled(cut(ring, "ring"))
+        opened = ring.join(both.select(F.col("y").alias("side"), F.col("x").alias("p"), F.lit(True).alias("gone")), ["side", "p"], "left").select("side", F.when(F.col("gone"), None).otherwise(F.col("p")).alias("p"))
+        opened, rest = _doubled(cut(opened, "ring"))
         if not rest.isEmpty():
             raise DeBruijnError("a circular chain could not be opened")
         found = found.union(opened)
@@ -113,6 +129,20 @@ def chains(d: DeBruijn, links: DataFrame) -> DataFrame:
     return placed.join(kept, "head")
 
 
+def _spelled(steps: DataFrame, k: int) -> DataFrame:
+    """``(unitig_id, seq)``: the first k-mer whole, of the others the base they add.
+
+    Bases are put together by runs of ``SPELLED`` first, so that a long unitig is not one row for each base
+    where its runs meet.
+    """
+    added = F.when(F.col("is_rev"), F.lit(3) - first_base(k)).otherwise(last_base())
+    bases = steps.select("unitig_id", "offset", F.substring(F.lit("ACGT"), added.cast("int") + 1, F.lit(1)).alias("s"))
+    text = lambda rows, by, at: rows.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, "s"))), lambda x: x["s"]), "").alias("s"))
+    parts = text(bases.where("offset > 0").withColumn("part", F.expr(f"offset div {SPELLED}")), ["unitig_id", "part"], "offset")
+    heads = steps.where("offset = 0").select("unitig_id", "is_rev", kmer_text(k).alias("kmer")).select("unitig_id", F.lit(-1).cast("long").alias("part"), F.when(F.col("is_rev"), rc("kmer")).otherwise(F.col("kmer")).alias("s"))
+    return text(heads.union(parts.select("unitig_id", "part", "s")), ["unitig_id"], "part").withColumnRenamed("s", "seq")
+
+
 def compact(d: DeBruijn, blocked_after: DataFrame | None = None) -> Unitigs:
     """Maximal unbranched chains; ids by the rank of their least node."""
     k = d.k
@@ -120,9 +150,7 @@ def compact(d: DeBruijn, blocked_after: DataFrame | None = None) -> Unitigs:
     on = cut(chains(d, joins(d, arcs, blocked_after)), "onchains")
     ids = dense_rank_of(on.select("rep").distinct(), "rep", "unitig_id")
     placement = cut(on.join(ids, "rep").select(F.shiftright("side", 1).alias("node_id"), "unitig_id", F.col("dist").alias("offset"), (F.col("side") % 2 == 1).alias("is_rev"), "side"), "placement")
-    spelled = placement.join(d.nodes, "node_id").withColumn("s", F.when(F.col("is_rev"), rc("kmer")).otherwise(F.col("kmer")))
-    pieces = spelled.select("unitig_id", "offset", F.when(F.col("offset") == 0, F.col("s")).otherwise(F.substring("s", -1, 1)).alias("s"))
-    seqs = pieces.groupBy("unitig_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "s"))), lambda x: x["s"]), "").alias("seq"))
+    seqs = _spelled(placement.select("unitig_id", "node_id", "offset", "is_rev").join(d.packed, "node_id"), k)
     last = placement.groupBy("unitig_id").agg(F.max_by("side", "offset").alias("last"), F.min_by("side", "offset").alias("first"))
     exits = last.select("unitig_id", F.explode(F.array(F.struct(F.col("last").alias("x"), F.lit(False).alias("rev")), F.struct(mirror("first").alias("x"), F.lit(True).alias("rev")))).alias("e")).select("unitig_id", "e.x", "e.rev")
     enters = last.select("unitig_id", F.explode(F.array(F.struct(F.col("first").alias("y"), F.lit(False).alias("rev")), F.struct(mirror("last").alias("y"), F.lit(True).alias("rev")))).alias("e")).select(F.col("unitig_id").alias("v"), "e.y", F.col("e.rev").alias("vrev"))

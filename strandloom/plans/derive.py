@@ -82,7 +82,8 @@ def event_graph(spark: SparkSession, sf_dir: str) -> Graph:
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     steps = events.join(F.broadcast(kinds), "event_type").select(F.col("user_id").alias("path_idx"), (F.row_number().over(w) - 1).cast("long").alias("pos"), "node_id", F.lit(False).alias("is_rev"), F.lit(0).cast("long").alias("lap"), F.lit(0).alias("l_quantity"))
     links = step_pairs(steps).select("from_node", "from_rev", "to_node", "to_rev").distinct()
-    edges = links.select((F.row_number().over(W.orderBy("from_node", "to_node")) - 1).cast("long").alias("edge_idx"), "*", F.lit(0).cast("long").alias("overlap"))
+    keyed = links.withColumn("key", F.struct("from_node", "from_rev", "to_node", "to_rev"))
+    edges = dense_rank_of(keyed, "key", "edge_idx", F.shiftright("from_node", 12)).select("edge_idx", *links.columns, F.lit(0).cast("long").alias("overlap"))
     paths = steps.select("path_idx").distinct().select("path_idx", F.concat(F.lit("u"), F.col("path_idx").cast("string")).alias("name"), F.array().cast("array<bigint>").alias("overlaps"))
     return Graph(kinds.select("node_id", F.repeat(F.lit("ACGT"), 2).alias("seq"), F.col("event_type").alias("name")), edges, paths, steps.select("path_idx", "pos", "node_id", "is_rev"))
 

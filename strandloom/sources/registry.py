@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.operators.model import Graph, UnsupportedFormat
 from strandloom.plans.runtime import ready
-from strandloom.sources import fastg, gfa, odgi, vg
+from strandloom.sources import fastg, gbz, gfa, odgi, vg
 
 
 @dataclass(frozen=True)
@@ -27,6 +27,7 @@ FORMATS = {
         Format("gfa", ("gfa",), "Graphical Fragment Assembly 1.0 and 1.1", gfa.read_gfa, gfa.write_gfa),
         Format("vg", ("vg",), "VG protobuf stream", vg.read_vg, vg.write_vg),
         Format("fastg", ("fastg",), "FASTG of the SPAdes dialect", fastg.read_fastg, fastg.write_fastg),
+        Format("gbz", ("gbz",), "GBZ: bidirectional GBWT of the paths with sequences", gbz.read_gbz, gbz.write_gbz),
         Format("odgi", ("og", "odgi"), "ODGI binary graph", odgi.read_odgi, odgi.write_odgi),
     )
 }
