@@ -120,26 +120,40 @@ def suspect_hashes(hashes: DataFrame, n_rows: int) -> DataFrame:
     return cut(sent.join(replies, ["sender", "owner"]).mapInArrow(_suspects, "h long").distinct(), "suspects")
 
 
-def membership_filter(values: DataFrame) -> Column | None:
-    """A test of column ``h`` that passes every member of ``values`` (long ``h``) and few others; None if there is no member.
+def bit_array(values: DataFrame, most: int = FILTER_BITS) -> np.ndarray | None:
+    """64-bit words of a power of two bits in which the low bits of every long ``h`` of ``values`` are set; None if there is none.
 
-    A bit array of bounded size, filled by a partial aggregation of 64-bit words and broadcast.
+    16 bits for each value and ``most`` at most, filled by a partial aggregation of words, so that the driver
+    gets as many rows as the array has words.
     """
     n = values.count()
     if not n:
         return None
-    bits = min(FILTER_BITS, 1 << max(10, (16 * n).bit_length()))
+    bits = min(most, 1 << max(10, (16 * n).bit_length()))
     at = F.col("h").bitwiseAND(F.lit(bits - 1))
     words = values.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((h & {bits - 1}) & 63 as int))")).alias("v"))
     array = np.zeros(bits >> 6, np.int64)
-    got = words.toArrow()  # as many rows as the array has words, at most
+    got = words.toArrow()
     array[got["w"].to_numpy()] = got["v"].to_numpy()
-    held = values.sparkSession.sparkContext.broadcast(array.view(np.uint64))
+    return array.view(np.uint64)
+
+
+def held_by(array: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which uint64 values have their bit set."""
+    x = h & np.uint64(64 * len(array) - 1)
+    return (array[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) == 1
+
+
+def membership_filter(values: DataFrame) -> Column | None:
+    """A test of a long that passes every member of ``values`` (long ``h``) and few others; None if there is no member."""
+    array = bit_array(values)
+    if array is None:
+        return None
+    held = values.sparkSession.sparkContext.broadcast(array)
 
     @F.pandas_udf("boolean")
     def member(h: pd.Series) -> pd.Series:
-        x = h.to_numpy(np.int64) & (bits - 1)
-        return pd.Series((held.value[x >> 6] >> (x & 63).astype(np.uint64)) & np.uint64(1) == 1)
+        return pd.Series(held_by(held.value, h.to_numpy(np.int64).view(np.uint64)))
 
     return member
 

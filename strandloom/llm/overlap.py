@@ -1,6 +1,6 @@
 """Exact parts of a Jaccard join of sets: prefixes that similar sets must share, and bounds of what two sets share.
 
-All sets are put in one order, hashes that are common in a sample last. Of two sets with Jaccard similarity s
+All sets are put in one order, hashes that many sets hold last. Of two sets with Jaccard similarity s
 or more, each holds a common hash among its first n - ceil(s n) + 1, so the pair meets in the run of that hash.
 At the first hash that both hold, sizes and positions bound the overlap; counts by hash bucket bound it again.
 Neither bound is ever too low, so no pair that reaches the similarity is left out.
@@ -12,15 +12,40 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandloom.llm.exact_dedup import held_by
+
 #: What rounding of similarity times size may come to.
 SLACK = 1e-9
+#: Runs with more members are compared by their differences from one of them.
+RUN = 16
+_WORD, _MIX = (1 << 64) - 1, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Hashes below this are counted, over all sets: a prefix takes a fifth, and seldom needs more than these.
+COUNTED = np.uint64(int(0.4 * 2**64))
+#: Levels of counts; hashes that are not counted come after the first ``UNCOUNTED`` levels.
+LEVELS, UNCOUNTED = (3, 8, 32, 128, 1024), 2
+#: Levels of counts among sets that are compared by differences, where all hashes are counted.
+NEAR_LEVELS = (2, 3, 4, 6, 10, 20, 50, 200, 1000)
+#: Bits of each level's array, at most (8 MB).
+LEVEL_BITS = 1 << 26
+
+
+def ranks(h: np.ndarray, often: list[np.ndarray | None]) -> np.ndarray:
+    """How late each hash comes in the order: counted ones by how many levels of ``often`` (bit arrays) hold them, the others between.
 
+    Any function of the hash alone gives an order in which no pair is missed; this one puts what many sets
+    hold last.
+    """
+    rank = np.where(h < COUNTED, 0, 2 * UNCOUNTED - 1)
+    low = h < COUNTED
+    for array in often:
+        if array is not None:
+            rank[low] += 2 * held_by(array, h[low])
+    return rank
 
-def prefix(h: np.ndarray, common: np.ndarray, times: np.ndarray, similarity: float) -> np.ndarray:
-    """The first hashes of the ascending distinct ``h``, ordered by ``times`` (0 if not in the ascending ``common``) and value."""
-    if len(common) and len(h):
-        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-        h = h[np.argsort(np.where(common[at] == h, times[at], 0), kind="stable")]
+
+def prefix(h: np.ndarray, often: list[np.ndarray | None], similarity: float) -> np.ndarray:
+    """The first hashes of the ascending distinct ``h``, ordered by rank and value."""
+    h = h[np.argsort(ranks(h, often), kind="stable")]
     return h[: len(h) - int(np.ceil(similarity * len(h) - SLACK)) + 1]
 
 
@@ -46,3 +71,44 @@ def shared_at_most(x: bytes, y: bytes, m: int, n: int) -> int:
     if len(a) > len(b):
         a = a.reshape(-1, len(b)).sum(0, dtype=np.int64)
     return int(np.minimum(a, b).sum(dtype=np.int64))
+
+
+def difference_keys(x: np.ndarray, hub: np.ndarray, name: int, often: list[np.ndarray | None], similarity: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys of which two similar sets share one, unless both are similar to ``hub``, for a set x of the run of that hub.
+
+    Also each key's place in the difference, and the size of that. Hashes come in the order of how many
+    differences hold them, about: what x adds by the levels of ``often`` (bit arrays of what several of the
+    compared sets hold), then what it lacks.
+
+    With D(x) the hashes that only one of x and hub holds, x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|
+    hashes. Similar sets differ in t at most, so their differences from the hub share
+    (|D(x)| + |D(y)| - t) / 2 or more: a part so large that prefixes of the differences are short. As that
+    depends on the size of both, there is a prefix for each class of the other's size. Copies that were
+    changed in different places share no key, however many there are.
+    """
+    d = np.setxor1d(x, hub, assume_unique=True)
+    times = np.zeros(len(d), np.int64)
+    for array in often:
+        if array is not None:
+            times += held_by(array, d)
+    own = np.isin(d, hub, assume_unique=True)
+    d = d[np.lexsort((np.where(own, -times, times), own))]
+    size, n = len(d), len(x)
+    at = np.arange(size)
+    t = (1 - similarity) / (1 + similarity) * (n + n / similarity) + SLACK
+    width = max(1, len(hub) // 20)
+    of, out, places = size // width, [], []
+    for other in range(int(max(0.0, size - t)) // width, int(size + t) // width + 1):
+        share = max(1, int(np.ceil((size + max(other * width, size - t) - t) / 2 - SLACK)))
+        if share <= size:
+            a, b = min(of, other), max(of, other)
+            places.append(at[: size - share + 1])
+            out.append((d[: size - share + 1] ^ np.uint64(name * _MIX[0] & _WORD)) * np.uint64(_MIX[1]) + np.uint64((a << 32 | b) * _MIX[2] & _WORD))
+    return np.concatenate([np.zeros(0, np.uint64), *out]), np.concatenate([at[:0], *places]), size
+
+
+def may_reach_by_difference(x: str, y: str, similarity: float) -> Column:
+    """Whether two rows with ``pos`` and ``size`` in the difference from one hub, and ``n``, may still reach the similarity."""
+    a, b = (lambda c: F.col(f"{x}.{c}")), (lambda c: F.col(f"{y}.{c}"))
+    least = (a("size") + b("size") - F.lit((1 - similarity) / (1 + similarity)) * (a("n") + b("n"))) / 2
+    return F.least(a("size") - a("pos"), b("size") - b("pos")) >= least - SLACK

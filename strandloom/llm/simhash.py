@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from strandloom.llm import overlap
-from strandloom.llm.exact_dedup import membership_filter, without
+from strandloom.llm.exact_dedup import bit_array, membership_filter, without
 from strandloom.operators.components import connected_components
 from strandloom.plans.runtime import cut, discard, plain_columns
 
@@ -32,8 +32,6 @@ SEED = 42
 RUN = 2000
 #: Bits that the finest tables leave free, at most.
 FREE = 14
-#: Texts that the order of shingles is estimated on, and shingles that count as common, at most.
-SAMPLE, COMMON = 20_000, 1 << 18
 _LANE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -247,14 +245,20 @@ def simhash_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     return fps.join(named, "fp").select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (src, dst) whose texts (node, text) have this Jaccard similarity of distinct shingles, exactly."""
+def exact_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
+    """``(node, set)`` of texts (node, text): the distinct shingles, ascending, as bytes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [np.unique(shingle_hashes(words(t), shingle_words)).tobytes() for t in b.column(1).to_pylist()]
+            made = [s.tobytes() for s in _shingle_arrays(b.column(1).to_pylist(), shingle_words)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["node", "set"])
 
+    return cut(texts.select("node", F.col("text").cast("binary").alias("b")).mapInArrow(sets, "node long, set binary"), "shingles")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (src, dst) whose ``sets`` (node, set) have this Jaccard similarity, exactly."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -264,11 +268,27 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle_words: int, simila
                 keep.append(both >= similarity * (len(m) + len(n) - both) - overlap.SLACK)
             yield b.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    shingles = cut(texts.select("node", F.col("text").cast("binary").alias("b")).mapInArrow(sets, "node long, set binary"), "shingles")
-    met = pairs.join(shingles.toDF("src", "x"), "src").join(shingles.toDF("dst", "y"), "dst")
-    found = cut(met.select("src", "dst", "x", "y").mapInArrow(compare, "src long, dst long"), "links")
-    discard(shingles)
-    return found
+    met = pairs.join(sets.toDF("src", "x"), "src").join(sets.toDF("dst", "y"), "dst")
+    return cut(met.select("src", "dst", "x", "y").mapInArrow(compare, "src long, dst long"), "links")
+
+
+_DIFFERENCES = "node long, key long, pos int, size int, n int"
+
+
+def difference_keys(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(node, key, pos, size, n)`` of ``pairs`` (node, hub): see :func:`overlap.difference_keys`."""
+    often = pairs.sparkSession.sparkContext.broadcast(_levels(sets.select("set"), lambda data: [np.frombuffer(x, np.uint64) for x in data], overlap.NEAR_LEVELS))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, hub, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = np.frombuffer(x, np.uint64)
+                made, at, size = overlap.difference_keys(x, np.frombuffer(y, np.uint64), hub, often.value, similarity)
+                same = lambda v, kind, k=len(made): pa.array(np.full(k, v, kind))
+                yield pa.RecordBatch.from_arrays([same(node, np.int64), pa.array(made.view(np.int64)), pa.array(at.astype(np.int32)), same(size, np.int32), same(len(x), np.int32)], names=["node", "key", "pos", "size", "n"])
+
+    met = pairs.join(sets.toDF("node", "x"), "node").join(sets.toDF("hub", "y"), "hub").select("node", "hub", "x", "y")
+    return met.mapInArrow(keys, _DIFFERENCES)
 
 
 def possible_pairs(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
@@ -286,39 +306,46 @@ def possible_pairs(pairs: DataFrame, sketches: DataFrame, similarity: float) ->
     return met.select("src", "dst", "m", "x", "n", "y").mapInArrow(compare, "src long, dst long")
 
 
-def common_shingles(texts: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and counts of shingles that several of a bounded sample of texts hold.
+def _shingle_arrays(texts: list[bytes], shingle_words: int) -> list[np.ndarray]:
+    return [np.unique(shingle_hashes(words(t), shingle_words)) for t in texts]
 
-    They only order the shingles: whatever the sample holds, the same pairs are found.
-    """
-    share = min(1.0, SAMPLE / max(1, texts.count()))
+
+def _levels(rows: DataFrame, sets: Callable[[list[bytes]], list[np.ndarray]], levels: tuple[int, ...]) -> list[np.ndarray | None]:
+    """For each level a bit array of the hashes that so many of ``sets`` of the rows hold."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(words(t), shingle_words)) for t in b.column(0).to_pylist()]
-            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets(b.column(0).to_pylist())]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    drawn = texts.where(F.pmod("th", F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col("text").cast("binary").alias("b"))
-    found = drawn.mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
-    h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
+    often = rows.mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min(levels))
+    often = cut(often, "often")
+    arrays = [bit_array(often.where(F.col("n") >= level).select("h"), overlap.LEVEL_BITS) for level in levels]
+    discard(often)
+    return arrays
 
 
-def shingle_sets(texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """``(id, th, node, fp, n, sketch, prefix)``: node names the set of distinct shingles, fp is its SimHash, n its size."""
-    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, shingle_words))
+def often_held(texts: DataFrame, shingle_words: int) -> list[np.ndarray | None]:
+    """For each of ``overlap.LEVELS`` a bit array of the counted shingles that so many of all texts hold."""
+    low = lambda data: [s[: np.searchsorted(s, overlap.COUNTED)] for s in _shingle_arrays(data, shingle_words)]
+    return _levels(texts.select(F.col("text").cast("binary").alias("b")), low, overlap.LEVELS)
+
+
+def shingle_sets(texts: DataFrame, shingle_words: int, similarity: float, often) -> DataFrame:
+    """``(id, th, node, fp, n, sketch, prefix)``: node names the set of distinct shingles, fp is its SimHash, n its size.
+
+    ``often``: the broadcast arrays of :func:`often_held`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(words(t), shingle_words)) for t in b.column(2).to_pylist()]
+            sets = _shingle_arrays(b.column(2).to_pylist(), shingle_words)
             made = {
                 "node": pa.array([signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets], pa.int64()),
                 "fp": pa.array([signed(majority(s)) for s in sets], pa.int64()),
                 "n": pa.array([len(s) for s in sets], pa.int64()),
                 "sketch": pa.array(map(overlap.sketch, sets), pa.binary()),
-                "prefix": pa.array([overlap.prefix(s, *common.value, similarity).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                "prefix": pa.array([overlap.prefix(s, often.value, similarity).view(np.int64) for s in sets], pa.list_(pa.int64())),
             }
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made.values()], names=["id", "th", *made])
 
@@ -349,45 +376,38 @@ def prefix_members(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
-def _hubs(members: DataFrame) -> DataFrame:
-    """Of each hash the member with most links (of equals the greatest node)."""
-    return members.groupBy("key").agg(F.max(F.struct("links", "node", "pos", "n", "component")).alias("y"))
-
-
-def _apart(a: str, b: str, similarity: float) -> Column:
-    return (F.col(f"{a}.component") != F.col(f"{b}.component")) & overlap.may_reach(a, b, similarity)
-
-
-def near_duplicate_links(sets: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], similarity: float, radius: int) -> DataFrame:
+def near_duplicate_links(members: DataFrame, met: DataFrame, verify: Callable[[DataFrame], DataFrame], differences: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """``(node, component)`` of all pairs that ``verify`` passes; nodes without a link are left out.
 
-    Two rounds. The first compares what SimHash brings together and, of each prefix hash, one member with
-    the others; the second all pairs of a hash that are in different components still, apart from pairs
-    within the component of the hash's best linked member. Both join by hash, so that a hot one can be split.
+    ``members`` (key, node, pos, n): prefix hashes that several sets hold; ``met``: candidates by SimHash.
+    Of each hash, one member is the hub: the one with most candidates. The first round compares the hubs with
+    the others, and ``met``. The second compares members that are in different components still: each with
+    each where a hash has few members, else those that share a key of their ``differences`` from the hub.
     """
-    members = prefix_members(sets, nodes)
-    begun = cut(simhash_candidates(nodes, radius), "met")
-    degree = begun.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    known = members.join(degree, "node", "left").select("key", "node", "pos", "n", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.col("node").alias("component"))
-    pair = lambda df, a, b: df.select(F.least(f"{a}.node", f"{b}.node").alias("src"), F.greatest(f"{a}.node", f"{b}.node").alias("dst"))
-    known = cut(known, "known")
-    first = pair(known.alias("x").join(_hubs(known), "key").where(_apart("x", "y", similarity)), "x", "y")
-    tested = cut(first.union(begun).distinct(), "pairs")
+    degree = met.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    known = cut(members.join(degree, "node", "left").select("key", "node", "pos", "n", F.coalesce("links", F.lit(0).cast("long")).alias("links")), "known")
+    hubs = cut(known.groupBy("key").agg(F.max(F.struct("links", "node", "pos", "n")).alias("y"), F.count("*").alias("rows")), "hubs")
+    pair = lambda df, a, b: df.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).where("src <> dst")
+    first = known.alias("x").join(hubs, "key").where((F.col("rows") > overlap.RUN) | overlap.may_reach("x", "y", similarity))
+    tested = cut(pair(first, "x.node", "y.node").union(met).distinct(), "pairs")
     linked = verify(tested)
     near = cut(connected_components(linked), "near")
-    degree = linked.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    state = near.join(degree, "node")
-    discard(known)
-    known = cut(members.join(state, "node", "left").select("key", "node", "pos", "n", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("component", "node").alias("component")), "known")
-    hubs = cut(_hubs(known).select("key", F.col("y.component").alias("main")), "hubs")
-    placed = known.join(hubs, "key")
-    others = placed.where("component <> main")
+    spots = known.drop("links").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mains = hubs.select("key", "rows", F.col("y.node").alias("hub")).join(near.toDF("hub", "main"), "hub", "left").withColumn("main", F.coalesce("main", "hub"))
+    placed = cut(spots.join(mains, "key"), "placed")
+    few, many = placed.where(F.col("rows") <= overlap.RUN), placed.where(F.col("rows") > overlap.RUN)
+    apart = (F.col("x.component") != F.col("z.component")) & overlap.may_reach("x", "z", similarity)
     once = (F.col("x.node") < F.col("z.node")) | (F.col("z.component") == F.col("z.main"))
-    met = others.alias("x").join(placed.alias("z"), F.col("x.key") == F.col("z.key")).where(once & _apart("x", "z", similarity))
-    rest = cut(pair(met, "x", "z").distinct().join(tested, ["src", "dst"], "left_anti"), "pairs")
+    short = few.where("component <> main").alias("x").join(few.alias("z"), "key").where(once & apart)
+    mixed = many.groupBy("key").agg(F.max(F.col("component") != F.col("main")).alias("mixed")).where("mixed").select("key")
+    keys = cut(differences(many.join(mixed, "key").where("node <> hub").select("node", "hub").distinct()), "differences")
+    often = keys.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    where = cut(keys.join(often, "key").join(near, "node", "left").withColumn("component", F.coalesce("component", "node")), "differences")
+    long = where.alias("x").join(where.alias("z"), "key").where("x.node < z.node and x.component <> z.component").where(overlap.may_reach_by_difference("x", "z", similarity))
+    rest = cut(pair(short, "x.node", "z.node").union(pair(long, "x.node", "z.node")).distinct().join(tested, ["src", "dst"], "left_anti"), "pairs")
     more = verify(rest)
     out = cut(connected_components(linked.union(more)), "near")
-    discard(members, begun, tested, linked, near, known, hubs, rest, more)
+    discard(known, hubs, tested, linked, near, placed, keys, where, rest, more)
     return out
 
 
@@ -398,28 +418,44 @@ def near_duplicate_filter(docs: DataFrame, id: str = "doc_id", text: str = "text
     ``similarity`` or more. Covering masks bring together all pairs whose SimHashes over these shingles differ
     by ``radius`` bits or fewer; at 0.8 about ten of 64 bits differ, which no workable number of masks covers,
     so prefix filtering (see ``overlap``) finds the pairs beyond. Every candidate is compared exactly and no
-    pair is missed. Texts with no word are never near-duplicates of each other and stay. Rows that repeat
+    pair is missed, also none among many copies of one text that are not similar to each other. Texts with no word are never near-duplicates of each other and stay. Rows that repeat
     both id and text stay or go together; null ids come last. Columns are those of ``docs``.
     """
     docs, (id, text), restored = plain_columns(docs, id, text)
     tagged = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    sets = cut(shingle_sets(tagged, shingle_words, similarity), "sets")
+    often = docs.sparkSession.sparkContext.broadcast(often_held(tagged, shingle_words))
+    sets = cut(shingle_sets(tagged, shingle_words, similarity, often), "sets")
     nodes = cut(sets.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("k"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("rows")), "nodes")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        likely = cut(possible_pairs(pairs, nodes.select("node", "n", "sketch"), similarity), "likely")
-        # one text for each end of a pair; a filter of bounded size lets few other texts through
-        ends = likely.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    def sets_of(pairs: DataFrame) -> DataFrame | None:
+        """The exact sets of both ends; one text each, and a filter of bounded size lets few other texts through."""
+        ends = pairs.select(F.explode(F.array(*pairs.columns)).alias("node")).distinct()
         shown = cut(ends.join(nodes, "node").select("node", F.xxhash64("k.id", "k.th").alias("h")), "ends")
         member = membership_filter(shown.select("h").distinct())
         if member is None:
-            return likely
+            return None
         texts = tagged.withColumn("h", F.xxhash64("id", "th")).where(member("h")).select("h", "text").join(shown, "h").select("node", "text").dropDuplicates(["node"])
-        found = similar_pairs(likely, texts, shingle_words, similarity)
-        discard(likely, shown)
+        found = exact_sets(texts, shingle_words)
+        discard(shown)
         return found
 
-    near = near_duplicate_links(sets, nodes, verify, similarity, radius)
+    def verify(pairs: DataFrame) -> DataFrame:
+        likely = cut(possible_pairs(pairs, nodes.select("node", "n", "sketch"), similarity), "likely")
+        held = sets_of(likely)
+        if held is None:
+            return likely
+        found = similar_pairs(likely, held, similarity)
+        discard(likely, held)
+        return found
+
+    def differences(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs, "hubpairs")
+        held = sets_of(pairs)
+        return docs.sparkSession.createDataFrame([], _DIFFERENCES) if held is None else difference_keys(pairs, held, similarity)
+
+    members, met = prefix_members(sets, nodes), cut(simhash_candidates(nodes, radius), "met")
+    near = near_duplicate_links(members, met, verify, differences, similarity)
+    discard(members, met)
     grouped = nodes.join(near, "node", "left").withColumn("root", F.coalesce("component", "node"))
     best = grouped.groupBy("root").agg(F.min("k").alias("best"), F.sum("rows").alias("all")).where("all > 1")
     bad = cut(grouped.join(best, "root").select("node", "best"), "groups")
