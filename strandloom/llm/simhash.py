@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from strandloom.llm import overlap
-from strandloom.llm.exact_dedup import bit_array, membership_filter, without
+from strandloom.llm.exact_dedup import bit_array, held_by, membership_filter, without
 from strandloom.operators.components import connected_components
 from strandloom.plans.runtime import cut, discard, plain_columns
 
@@ -277,7 +277,7 @@ _DIFFERENCES = "node long, key long, pos int, size int, n int"
 
 def difference_keys(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``(node, key, pos, size, n)`` of ``pairs`` (node, hub): see :func:`overlap.difference_keys`."""
-    often = pairs.sparkSession.sparkContext.broadcast(_levels(sets.select("set"), lambda data: [np.frombuffer(x, np.uint64) for x in data], overlap.NEAR_LEVELS))
+    often = pairs.sparkSession.sparkContext.broadcast(_levels(sets.select("set"), lambda c: [np.frombuffer(x, np.uint64) for x in c.to_pylist()], overlap.NEAR_LEVELS, (sets.agg(F.sum(F.octet_length("set"))).first()[0] or 0) // 8))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -310,16 +310,49 @@ def _shingle_arrays(texts: list[bytes], shingle_words: int) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(words(t), shingle_words)) for t in texts]
 
 
-def _levels(rows: DataFrame, sets: Callable[[list[bytes]], list[np.ndarray]], levels: tuple[int, ...]) -> list[np.ndarray | None]:
-    """For each level a bit array of the hashes that so many of ``sets`` of the rows hold."""
+def repeated(rows: DataFrame, hashes: Callable[[pa.Array], list[np.ndarray]], least: int, about: int) -> DataFrame:
+    """``(h, n)``: the hashes that ``least`` or more of the rows hold, by owners of ranges of hashes.
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``hashes`` gives the distinct hashes of each row of a column. Batches send each owner its hashes as one
+    piece of bytes, so that the JVM moves few rows; an owner counts one range at once. ``about``: the number of
+    hashes, of which a range has a million or so.
+    """
+    bits = max(0, (about >> 20).bit_length())
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets(b.column(0).to_pylist())]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+            h = np.sort(np.concatenate([np.zeros(0, np.uint64), *hashes(b.column(0))]))
+            owner = (h >> np.uint64(64 - bits) if bits else np.zeros(len(h), np.uint64)).astype(np.int64)
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(h) else np.zeros(0, np.int64)
+            pieces = [h[lo:hi].tobytes() for lo, hi in zip(starts, np.r_[starts[1:], len(h)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(owner[starts]), pa.array(pieces, pa.binary())], names=["owner", "piece"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        now = None
+
+        def close() -> pa.RecordBatch:
+            h, n = np.unique(np.frombuffer(b"".join(held), np.uint64), return_counts=True)
+            keep = n >= least
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["h", "n"])
+
+        for b in batches:
+            for owner, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if held and owner != now:
+                    yield close()
+                now = owner
+                held.append(piece)
+        if held:
+            yield close()
+
+    sent = rows.mapInArrow(send, "owner long, piece binary")
+    return cut(sent.repartition("owner").sortWithinPartitions("owner").mapInArrow(count, "h long, n long"), "often")
 
-    often = rows.mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min(levels))
-    often = cut(often, "often")
+
+def _levels(rows: DataFrame, hashes: Callable[[pa.Array], list[np.ndarray]], levels: tuple[int, ...], about: int) -> list[np.ndarray | None]:
+    """For each level a bit array of the hashes that so many of the rows hold."""
+    often = repeated(rows, hashes, min(levels), about)
     arrays = [bit_array(often.where(F.col("n") >= level).select("h"), overlap.LEVEL_BITS) for level in levels]
     discard(often)
     return arrays
@@ -327,8 +360,9 @@ def _levels(rows: DataFrame, sets: Callable[[list[bytes]], list[np.ndarray]], le
 
 def often_held(texts: DataFrame, shingle_words: int) -> list[np.ndarray | None]:
     """For each of ``overlap.LEVELS`` a bit array of the counted shingles that so many of all texts hold."""
-    low = lambda data: [s[: np.searchsorted(s, overlap.COUNTED)] for s in _shingle_arrays(data, shingle_words)]
-    return _levels(texts.select(F.col("text").cast("binary").alias("b")), low, overlap.LEVELS)
+    low = lambda c: [s[: np.searchsorted(s, overlap.COUNTED)] for s in _shingle_arrays(c.to_pylist(), shingle_words)]
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return _levels(texts.select(F.col("text").cast("binary").alias("b")), low, overlap.LEVELS, size // 15)  # two in five of the words
 
 
 def shingle_sets(texts: DataFrame, shingle_words: int, similarity: float, often) -> DataFrame:
@@ -363,19 +397,40 @@ def simhash_candidates(nodes: DataFrame, radius: int) -> DataFrame:
     return between.union(inside).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
 
 
-def prefix_members(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+def prefix_members(sets: DataFrame) -> DataFrame:
     """``(key, node, pos, n)`` of every prefix hash that several sets hold."""
-    alone = sets.join(nodes.select("node", F.col("k.id").alias("kid"), F.col("k.th").alias("kth")), "node").where("id <=> kid and th = kth").dropDuplicates(["node"])
-    spread = alone.select(F.posexplode("prefix").alias("pos", "key"), "node", "n").select("key", "node", F.col("pos").cast("int").alias("pos"), F.col("n").cast("int").alias("n"))
-    spread = cut(spread, "prefixes")
-    often = cut(spread.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("key").alias("h")), "often")
-    member = membership_filter(often)
-    # a filter of bounded size leaves few hashes that one set alone holds
-    out = cut(spread.where(member("key") if member is not None else F.lit(False)).join(often.withColumnRenamed("h", "key"), "key"), "members")
-    discard(spread, often)
+    lists = lambda c: [np.asarray(c.values[o.start : o.stop].to_numpy()).view(np.uint64) for o in _spans(c)]
+    often = repeated(sets.select("prefix"), lists, 2, sets.agg(F.sum(F.size("prefix"))).first()[0] or 0)
+    array = bit_array(often.select("h"))
+    schema = "key long, node long, pos int, n int"
+    if array is None:
+        return sets.sparkSession.createDataFrame([], schema)
+    held = sets.sparkSession.sparkContext.broadcast(array)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a filter of bounded size leaves few hashes that one set alone holds
+        for b in batches:
+            c, of = b.column(2), _spans(b.column(2))
+            key = c.values.to_numpy()[of[0].start : of[-1].stop] if of else np.zeros(0, np.int64)
+            count = np.array([len(o) for o in of], np.int64)
+            row = np.repeat(np.arange(len(of)), count)
+            pos = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
+            keep = held_by(held.value, key.view(np.uint64))
+            node, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[row[keep]]), pa.array(pos[keep].astype(np.int32)), pa.array(n[row[keep]].astype(np.int32))], names=["key", "node", "pos", "n"])
+
+    rows = sets.select("node", "n", "prefix").mapInArrow(spread, schema)
+    out = cut(rows.join(often.select(F.col("h").alias("key")), "key").dropDuplicates(["key", "node"]), "members")
+    discard(often)
     return out
 
 
+def _spans(c: pa.Array) -> list[range]:
+    """Where the items of each list of a list array lie in its values."""
+    at = c.offsets.to_numpy().tolist()
+    return [range(a, b) for a, b in zip(at, at[1:], strict=False)]
+
+
 def near_duplicate_links(members: DataFrame, met: DataFrame, verify: Callable[[DataFrame], DataFrame], differences: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """``(node, component)`` of all pairs that ``verify`` passes; nodes without a link are left out.
 
@@ -453,7 +508,7 @@ def near_duplicate_filter(docs: DataFrame, id: str = "doc_id", text: str = "text
         held = sets_of(pairs)
         return docs.sparkSession.createDataFrame([], _DIFFERENCES) if held is None else difference_keys(pairs, held, similarity)
 
-    members, met = prefix_members(sets, nodes), cut(simhash_candidates(nodes, radius), "met")
+    members, met = prefix_members(sets), cut(simhash_candidates(nodes, radius), "met")
     near = near_duplicate_links(members, met, verify, differences, similarity)
     discard(members, met)
     grouped = nodes.join(near, "node", "left").withColumn("root", F.coalesce("component", "node"))

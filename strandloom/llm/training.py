@@ -32,7 +32,9 @@ def bounded_sample(rows: DataFrame, most: int = SAMPLE, of: str | None = None) -
         if few:
             drawn = F.greatest(drawn, F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in few for x in pair]), F.col(of)), F.lit(0.0)))
     key = F.pmod(F.xxhash64(F.lit("sample"), *rows.columns), F.lit(scale))
-    return rows.withColumn("_draw_", key).where(F.col("_draw_") < drawn * scale).orderBy(F.col("_draw_") / drawn, *rows.columns).limit(most).drop("_draw_")
+    # rare values first: together they are a quarter at most
+    picked = rows.withColumn("_draw_", key).withColumn("_share_", drawn).where(F.col("_draw_") < F.col("_share_") * scale)
+    return picked.orderBy(F.col("_share_") <= share, F.col("_draw_") / F.col("_share_"), *rows.columns).limit(most).drop("_draw_", "_share_")
 
 
 def isotonic(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
