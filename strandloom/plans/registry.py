@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,11 @@ from strandloom.operators import colored, dbg, edit, formats, links, stats, unit
 from strandloom.operators.links import KEEPS, canonical_link
 from strandloom.operators.model import label, problems
 from strandloom.plans.derive import EVENT_VIEW, TEXT_VIEW, VIEWS, event_graph, order_graph, sparse_graph, text_graph
-from strandloom.plans.runtime import table
+from strandloom.plans.runtime import shared_dir, table
 from strandloom.sources.fastg import fastg_lines
 from strandloom.sources.gfa import gfa_lines, walk_name
+from strandloom.sources.registry import load_graph, save_graph
+from strandloom.sources.text import write_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -315,12 +318,17 @@ def _win(k: int, source: str) -> str:
 
 
 def _dbg_views(k: int, source: str) -> str:
-    return f"kn AS (SELECT CAST(row_number() OVER (ORDER BY kmer) - 1 AS BIGINT) AS node_id, kmer FROM (SELECT DISTINCT least(w, {_rc('w')}) AS kmer FROM {_win(k, source)})), ke AS (SELECT CAST(row_number() OVER (ORDER BY kmer1) - 1 AS BIGINT) AS edge_idx, kmer1 FROM (SELECT DISTINCT least(w, {_rc('w')}) AS kmer1 FROM {_win(k + 1, source)}))"
+    return f"kn AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY kmer) - 1 AS BIGINT) AS node_id, kmer FROM (SELECT DISTINCT least(w, {_rc('w')}) AS kmer FROM {_win(k, source)})), ke AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY kmer1) - 1 AS BIGINT) AS edge_idx, kmer1 FROM (SELECT DISTINCT least(w, {_rc('w')}) AS kmer1 FROM {_win(k + 1, source)}))"
 
 
-_ENDS = f"ends AS (SELECT edge_idx, kmer1, a.node_id AS from_id, {_rc('substr(kmer1, 1, {k})')} < substr(kmer1, 1, {{k}}) AS from_rev, b.node_id AS to_id, {_rc('substr(kmer1, 2, {k})')} < substr(kmer1, 2, {{k}}) AS to_rev FROM ke JOIN kn a ON a.kmer = least(substr(kmer1, 1, {{k}}), {_rc('substr(kmer1, 1, {k})')}) JOIN kn b ON b.kmer = least(substr(kmer1, 2, {{k}}), {_rc('substr(kmer1, 2, {k})')}))".replace("{{k}}", "{k}")
-_SIDES = "sides AS (SELECT DISTINCT from_id * 2 + CAST(from_rev AS BIGINT) AS x, to_id * 2 + CAST(to_rev AS BIGINT) AS y FROM ends UNION SELECT to_id * 2 + CAST(NOT to_rev AS BIGINT), from_id * 2 + CAST(NOT from_rev AS BIGINT) FROM ends)"
+_HALVES = f"halves AS MATERIALIZED (SELECT edge_idx, kmer1, least(p, pr) AS ka, pr < p AS from_rev, least(s, sr) AS kb, sr < s AS to_rev FROM (SELECT edge_idx, kmer1, p, {_rc('p')} AS pr, s, {_rc('s')} AS sr FROM (SELECT edge_idx, kmer1, left(kmer1, length(kmer1) - 1) AS p, right(kmer1, length(kmer1) - 1) AS s FROM ke)))"
+_ENDS = f"{_HALVES}, ends AS MATERIALIZED (SELECT edge_idx, kmer1, a.node_id AS from_id, from_rev, b.node_id AS to_id, to_rev FROM halves JOIN kn a ON a.kmer = ka JOIN kn b ON b.kmer = kb)"
+_SIDES = "sides AS MATERIALIZED (SELECT DISTINCT from_id * 2 + CAST(from_rev AS BIGINT) AS x, to_id * 2 + CAST(to_rev AS BIGINT) AS y FROM ends UNION SELECT to_id * 2 + CAST(NOT to_rev AS BIGINT), from_id * 2 + CAST(NOT from_rev AS BIGINT) FROM ends)"
+_JOINS = "one AS MATERIALIZED (SELECT x, min(y) AS y FROM sides GROUP BY x HAVING count(*) = 1), nxt AS MATERIALIZED (SELECT a.x, a.y FROM one a JOIN one b ON b.x = xor(a.y, 1) WHERE a.x // 2 <> a.y // 2)"
 _PATHDBG = _with(f", {_PATHSEQ}, {_dbg_views(K_PATH, 'spelled')}")
+# chains from their heads on; the tables have no circular one
+_CHAINS = f"{_JOINS}, walk(side, head, dist) AS (SELECT s, s, CAST(0 AS BIGINT) FROM (SELECT node_id * 2 AS s FROM kn UNION ALL SELECT node_id * 2 + 1 FROM kn) WHERE s NOT IN (SELECT y FROM nxt) UNION ALL SELECT n.y, w.head, w.dist + 1 FROM walk w JOIN nxt n ON n.x = w.side), kept AS MATERIALIZED (SELECT head, CAST(row_number() OVER (ORDER BY min(side)) - 1 AS BIGINT) AS unitig_id FROM walk GROUP BY head HAVING min(side) % 2 = 0), placed AS MATERIALIZED (SELECT side // 2 AS node_id, unitig_id, dist AS \"offset\", side % 2 = 1 AS is_rev, side FROM walk JOIN kept USING (head))"
+_UNITIGS = _with(f", {_PATHSEQ}, {_dbg_views(K_PATH, 'spelled')}, {_ENDS}, {_SIDES}, {_CHAINS}", recursive=True)
 
 
 @_query(_PATHDBG + " SELECT node_id, kmer FROM kn")
@@ -333,17 +341,17 @@ def dbg_edges(spark, sf_dir):
     return dbg.from_paths(order_graph(spark, sf_dir), K_PATH).edges.select("edge_idx", "kmer1")
 
 
-@_query(_PATHDBG + f", {_ENDS.format(k=K_PATH)} SELECT edge_idx, from_id, from_rev, to_id, to_rev, CAST({K_PATH - 1} AS BIGINT) AS overlap FROM ends")
+@_query(_PATHDBG + f", {_ENDS} SELECT edge_idx, from_id, from_rev, to_id, to_rev, CAST({K_PATH - 1} AS BIGINT) AS overlap FROM ends")
 def dbg_edge_ends(spark, sf_dir):
     return dbg.from_paths(order_graph(spark, sf_dir), K_PATH).edges.select("edge_idx", "from_id", "from_rev", "to_id", "to_rev", "overlap")
 
 
-@_query(_PATHDBG + f", {_ENDS.format(k=K_PATH)}, {_SIDES} SELECT x AS side, count(*) AS n FROM sides GROUP BY x")
+@_query(_PATHDBG + f", {_ENDS}, {_SIDES} SELECT x AS side, count(*) AS n FROM sides GROUP BY x")
 def dbg_degrees(spark, sf_dir):
     return unitigs.side_arcs(dbg.from_paths(order_graph(spark, sf_dir), K_PATH)).groupBy(F.col("x").alias("side")).agg(F.count("*").alias("n"))
 
 
-@_query(_PATHDBG + f", {_ENDS.format(k=K_PATH)}, {_SIDES}, one AS (SELECT x, min(y) AS y FROM sides GROUP BY x HAVING count(*) = 1) SELECT a.x, a.y FROM one a JOIN one b ON b.x = xor(a.y, 1) WHERE a.x // 2 <> a.y // 2")
+@_query(_PATHDBG + f", {_ENDS}, {_SIDES}, {_JOINS} SELECT x, y FROM nxt")
 def dbg_links(spark, sf_dir):
     d = dbg.from_paths(order_graph(spark, sf_dir), K_PATH)
     return unitigs.joins(d, unitigs.side_arcs(d))
@@ -380,21 +388,109 @@ def topology_edges(spark, sf_dir):
     return dbg.from_topology(order_graph(spark, sf_dir), K_TOPOLOGY).edges.select("edge_idx", "kmer1")
 
 
-@_query()
+@_query(_UNITIGS + f" SELECT unitig_id, string_agg(CASE WHEN \"offset\" = 0 THEN s ELSE right(s, 1) END, '' ORDER BY \"offset\") AS seq FROM (SELECT unitig_id, \"offset\", CASE WHEN is_rev THEN {_rc('kmer')} ELSE kmer END AS s FROM placed JOIN kn USING (node_id)) GROUP BY unitig_id")
 def unitig_sequences(spark, sf_dir):
     return unitigs.compact(dbg.from_paths(order_graph(spark, sf_dir), K_PATH)).unitigs
 
 
-@_query()
+_UNITIG_EDGES = f", tip AS (SELECT unitig_id, arg_min(side, \"offset\") AS f, arg_max(side, \"offset\") AS l FROM placed GROUP BY unitig_id), outs AS (SELECT unitig_id AS u, l AS x, false AS r FROM tip UNION ALL SELECT unitig_id, xor(f, 1), true FROM tip), ins AS (SELECT unitig_id AS v, f AS y, false AS q FROM tip UNION ALL SELECT unitig_id, xor(l, 1), true FROM tip), met AS (SELECT u, r, v, q FROM outs JOIN sides USING (x) JOIN ins USING (y)) SELECT DISTINCT CASE WHEN (u, r, v, q) <= (v, NOT q, u, NOT r) THEN u ELSE v END AS from_id, CASE WHEN (u, r, v, q) <= (v, NOT q, u, NOT r) THEN r ELSE NOT q END AS from_rev, CASE WHEN (u, r, v, q) <= (v, NOT q, u, NOT r) THEN v ELSE u END AS to_id, CASE WHEN (u, r, v, q) <= (v, NOT q, u, NOT r) THEN q ELSE NOT r END AS to_rev, CAST({K_PATH - 1} AS BIGINT) AS overlap FROM met"
+
+
+@_query(_UNITIGS + _UNITIG_EDGES)
 def unitig_edges(spark, sf_dir):
     return unitigs.compact(dbg.from_paths(order_graph(spark, sf_dir), K_PATH)).edges
 
 
-@_query()
+@_query(_UNITIGS + ' SELECT node_id, unitig_id, "offset", is_rev FROM placed')
 def unitig_placement(spark, sf_dir):
     return unitigs.compact(dbg.from_paths(order_graph(spark, sf_dir), K_PATH)).placement
 
 
+# --- files: written, read, and described by names
+
+
+def _described(label: str = "name", laps: bool = True, path_laps: bool = True, visited: bool = False, once: bool = False, paths: bool = True) -> str:
+    """SQL of all that a file of the order graph holds: (kind, value) of nodes, links and paths."""
+    lap = "overlap" if laps else "0"
+    link = f"SELECT CASE WHEN c THEN la ELSE lb END || chr(9) || CASE WHEN c THEN from_rev ELSE NOT to_rev END || chr(9) || CASE WHEN c THEN lb ELSE la END || chr(9) || CASE WHEN c THEN to_rev ELSE NOT from_rev END || chr(9) || {lap} AS value FROM (SELECT *, (la, from_rev, lb, to_rev) <= (lb, NOT to_rev, la, NOT from_rev) AS c FROM (SELECT e.*, a.l AS la, b.l AS lb FROM edges e JOIN lab a ON a.node_id = from_node JOIN lab b ON b.node_id = to_node))"
+    own = "CASE WHEN coalesce(list_max(any_value(p.laps)), 0) = 0 THEN '*' ELSE array_to_string(any_value(p.laps), ',') END" if path_laps else "'*'"
+    walk = f"SELECT any_value(p.name) || chr(9) || string_agg(lab.l || CASE WHEN s.is_rev THEN '-' ELSE '+' END, ',' ORDER BY pos) || chr(9) || {own} AS value FROM paths p JOIN steps s USING (path_idx) JOIN lab USING (node_id) GROUP BY p.path_idx"
+    seen = " WHERE node_id IN (SELECT node_id FROM steps)" if visited else ""
+    parts = [f"SELECT 'node' AS kind, l || chr(9) || seq AS value FROM lab{seen}", f"SELECT 'edge', value FROM ({'SELECT DISTINCT value FROM (' + link + ')' if once else link})"]
+    return _with(f", lab AS (SELECT node_id, seq, CAST({label} AS VARCHAR) AS l FROM nodes) " + " UNION ALL ".join(parts + ([f"SELECT 'path', value FROM ({walk})"] if paths else [])))
+
+
+def _round_trip(spark, sf_dir, name: str):
+    """The order graph through a file of the shared folder."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.{name}"
+    save_graph(order_graph(spark, sf_dir), path, name)
+    return links.described(load_graph(spark, path, name))
+
+
+@_query(_described())
+def gfa_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "gfa")
+
+
+@_query(_described(path_laps=False))
+def vg_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "vg")
+
+
+@_query(_described(label="node_id + 1", laps=False, path_laps=False, once=True))
+def odgi_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "odgi")
+
+
+@_query(_described(laps=False, path_laps=False, visited=True, once=True))
+def gbz_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "gbz")
+
+
+@_query(_described(laps=False, once=True, paths=False))
+def fastg_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "fastg")
+
+
+_WALK_NAME = "CASE o % 3 WHEN 0 THEN 'a#' || (o % 4) || '#c' || o WHEN 1 THEN 'b#' || (o % 4) || '#c' || o || '#0' ELSE 'c' || o END || CASE WHEN o % 5 > 0 THEN '[' || (o % 5) || CASE WHEN o % 2 = 0 THEN '-' || (o + 9) ELSE '' END || ']' ELSE '' END"
+
+
+@_query(_with(f" SELECT {_WALK_NAME} AS name, string_agg(name || CASE WHEN is_rev THEN '-' ELSE '+' END, ',' ORDER BY pos) AS walk FROM (SELECT path_idx AS o, pos, n.name, is_rev FROM steps JOIN nodes n USING (node_id)) GROUP BY o"))
+def gfa_walks(spark, sf_dir):
+    """Orders as W lines of two samples, of which the header names one as a reference, and of none."""
+    g = order_graph(spark, sf_dir)
+    names = g.nodes.select("node_id", "name")
+    spelled = g.steps.join(names, "node_id").groupBy("path_idx").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.when(F.col("is_rev"), "<").otherwise(">"), "name").alias("s")))).alias("w"))
+    o = F.col("path_idx")
+    text = lambda c: c.cast("string")
+    fields = [F.lit("W"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("*")), (o % 3 + 1).cast("int")), text(o % 4), F.concat(F.lit("c"), text(o)), text(o % 5), F.when(o % 2 == 0, text(o + 9)).otherwise("*"), F.array_join(F.transform("w", lambda x: x["s"]), "")]
+    head = spark.createDataFrame([(0, 0, "H\tVN:Z:1.1\tRS:Z:a z")], "section int, idx long, value string")
+    lines = head.union(g.nodes.select(F.lit(2), "node_id", F.concat_ws("\t", F.lit("S"), "name", "seq"))).union(spelled.select(F.lit(1), "path_idx", F.concat_ws("\t", *fields)))
+    path = f"{shared_dir(spark)}/walks-{uuid.uuid4().hex}.gfa"
+    write_lines(lines, path, ["section", "idx"])
+    back = load_graph(spark, path)
+    read = back.steps.join(back.nodes.select("node_id", F.col("name").alias("l")), "node_id").groupBy("path_idx").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat("l", F.when(F.col("is_rev"), "-").otherwise("+")).alias("s")))).alias("w"))
+    return back.paths.join(read, "path_idx").select("name", F.array_join(F.transform("w", lambda x: x["s"]), ",").alias("walk"))
+
+
+@_query(_with(" SELECT 'first' AS side, 'node' AS kind, 's3' || chr(9) || seq AS value FROM nodes WHERE node_id = 3 UNION ALL SELECT 'second', 'node', 's3' || chr(9) || 'GATTACA' UNION ALL SELECT 'second', 'node', 'new' || chr(9) || 'TTT' UNION ALL SELECT 'second', 'edge', 'new' || chr(9) || 'true' || chr(9) || 's0' || chr(9) || 'false' || chr(9) || '2' UNION ALL SELECT 'second', 'path', 'added' || chr(9) || 'new-,s0+' || chr(9) || '2'"))
+def edited_graph(spark, sf_dir):
+    g = order_graph(spark, sf_dir)
+    made, node = edit.add_node(edit.set_sequence(g, 3, "GATTACA"), "TTT", "new")
+    made, _ = edit.add_edge(made, node, True, 0, False, 2)
+    made, _ = edit.add_path(made, "added", [(node, True), (0, False)], [2])
+    return links.differences(g, made)
+
+
+@_query(_with(" SELECT 'node' AS what, name || ' ' || seq AS value FROM nodes WHERE node_id = 7 UNION ALL SELECT 'edge', from_node || ' ' || to_node || ' ' || overlap FROM edges WHERE edge_idx = 5 UNION ALL SELECT 'path', path_idx || ' ' || array_to_string(laps, ',') FROM paths WHERE path_idx = (SELECT min(path_idx) FROM paths)"))
+def lookups(spark, sf_dir):
+    g = order_graph(spark, sf_dir)
+    first = g.paths.agg(F.min("path_idx")).first()[0]
+    n, e, p = edit.get_node(g, 7), edit.get_edge(g, 5), edit.get_path(g, f"o{first}")
+    rows = [("node", f"{n['name']} {n['seq']}"), ("edge", f"{e['from_node']} {e['to_node']} {e['overlap']}"), ("path", f"{p['path_idx']} {','.join(map(str, p['overlaps']))}")]
+    return spark.createDataFrame(rows, "what string, value string")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
