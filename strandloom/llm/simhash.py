@@ -30,6 +30,8 @@ from strandloom.plans.runtime import cut, discard, plain_columns
 SEED = 42
 #: Runs with more members are dealt to finer tables.
 RUN = 2000
+#: Hashes that are sent in one row, at most.
+PIECE = 2048
 #: Bits that the finest tables leave free, at most.
 FREE = 14
 _LANE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -324,6 +326,7 @@ def repeated(rows: DataFrame, hashes: Callable[[pa.Array], list[np.ndarray]], le
             h = np.sort(np.concatenate([np.zeros(0, np.uint64), *hashes(b.column(0))]))
             owner = (h >> np.uint64(64 - bits) if bits else np.zeros(len(h), np.uint64)).astype(np.int64)
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(h) else np.zeros(0, np.int64)
+            starts = np.union1d(starts, np.arange(0, len(h), PIECE))  # workers get many pieces at once
             pieces = [h[lo:hi].tobytes() for lo, hi in zip(starts, np.r_[starts[1:], len(h)], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(owner[starts]), pa.array(pieces, pa.binary())], names=["owner", "piece"])
 
