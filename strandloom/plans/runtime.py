@@ -52,14 +52,16 @@ def discard(*cuts: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Rows that Python workers get at once: texts are long, and small batches keep workers small.
-ARROW_ROWS = "1000"
+#: Rows and bytes that Python workers get at once: texts are long, and small batches keep workers small.
+ARROW_ROWS, ARROW_BYTES = "1000", str(8 << 20)
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from the driver's source folder, and keep their batches small."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
