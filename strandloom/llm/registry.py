@@ -77,16 +77,18 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 OP2_SQL = r"""
 WITH RECURSIVE
 raw(page_id, url, html) AS (SELECT page_id, url, html FROM pages),
-links AS (
-    SELECT url AS src, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>') AS c, regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>') AS m
-    FROM raw WHERE url IS NOT NULL AND regexp_matches(html, '(?i)canonical|http-equiv')),
-aims AS (
-    SELECT src, regexp_extract(c, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS aim FROM links
-    UNION ALL SELECT src, regexp_extract(m, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM links),
+tags AS (
+    SELECT url AS src, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>')) AS tag FROM raw WHERE url IS NOT NULL
+    UNION ALL SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')) FROM raw WHERE url IS NOT NULL),
+aims AS (SELECT src, replace(CASE WHEN starts_with(lower(tag), '<link') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) ELSE regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END, '&amp;', '&') AS aim FROM tags),
+paths AS (
+    SELECT src, aim, CASE WHEN starts_with(aim, '/') THEN aim ELSE coalesce(nullif(regexp_extract(src, '(?s)^.*?://[^/?#]*([^?#]*/)?', 1), ''), '/') || aim END AS path FROM aims WHERE aim <> ''),
+cuts AS (SELECT src, aim, string_split(substr(regexp_extract(path, '(?s)^([^?#]*)', 1), 2), '/') AS parts, regexp_extract(path, '(?s)^[^?#]*(.*)$', 1) AS rest FROM paths),
+folds AS (SELECT src, aim, rest, parts, list_reduce(list_transform(parts, lambda s: [s]), lambda a, s: CASE WHEN s[1] = '.' THEN a WHEN s[1] = '..' THEN a[:-2] ELSE list_concat(a, s) END, CAST([] AS VARCHAR[])) AS kept FROM cuts),
 edges AS (
-    SELECT src, CASE WHEN contains(aim, '://') THEN aim WHEN starts_with(aim, '//') THEN regexp_extract(src, '(?s)^(.*?:)//', 1) || aim WHEN starts_with(aim, '/') THEN regexp_extract(src, '(?s)^(.*?://[^/?#]*)', 1) || aim
-        ELSE rtrim(regexp_extract(src, '(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)', 1), '/') || '/' || aim END AS dst
-    FROM aims WHERE aim <> ''),
+    SELECT src, CASE WHEN contains(aim, '://') THEN aim WHEN starts_with(aim, '//') THEN regexp_extract(src, '(?s)^(.*?:)//', 1) || aim WHEN starts_with(aim, '?') THEN regexp_extract(src, '(?s)^([^?#]*)', 1) || aim WHEN starts_with(aim, '#') THEN src
+        ELSE regexp_extract(src, '(?s)^(.*?://[^/?#]*)', 1) || '/' || array_to_string(kept, '/') || CASE WHEN parts[-1] IN ('.', '..') AND len(kept) > 0 THEN '/' ELSE '' END || rest END AS dst
+    FROM folds),
 urls AS (SELECT DISTINCT url FROM raw UNION SELECT src FROM edges UNION SELECT dst FROM edges),
 rests AS (SELECT url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM urls),
 parts AS (

@@ -40,23 +40,26 @@ def with_rule(urls: DataFrame, rules: DataFrame, key: str) -> DataFrame:
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(src, dst)`` urls of canonical links and meta refreshes in ``html``; relative targets are resolved."""
-    tag = lambda pattern: F.coalesce(F.regexp_extract(F.col("h"), pattern, 0), F.lit(""))
-    value = lambda x, name: F.regexp_extract(x, rf"(?is)\b{name}\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    base = pages.where(F.col(html).rlike(r"(?i)canonical|http-equiv")).select(F.col(url).alias("src"), F.col(html).alias("h"))
-    found = base.select(
-        "src",
-        F.explode(
-            F.array(
-                value(tag(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), "href"),
-                F.regexp_extract(tag(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1),
-            )
-        ).alias("to"),
-    ).where("to <> '' and src is not null")
+    """``(src, dst)`` urls of all canonical links and meta refreshes in ``html``.
+
+    Of a target ``&amp;`` is decoded; targets without a scheme are resolved against the page, ``.`` and ``..``
+    segments included. Null urls and pages without html have none.
+    """
+    tags = lambda pattern: F.regexp_extract_all(F.col("h"), F.lit(pattern), F.lit(0))
+    base = pages.where(F.col(html).rlike(r"(?i)canonical|http-equiv")).select(F.col(url).alias("src"), F.col(html).alias("h")).where("src is not null")
+    links = F.transform(tags(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    moves = F.transform(tags(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    found = base.select("src", F.explode(F.concat(links, moves)).alias("to")).where("to <> ''").select("src", F.replace("to", F.lit("&amp;"), F.lit("&")).alias("to"))
     origin, scheme = F.regexp_extract("src", r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract("src", r"(?s)^(.*?:)//", 1)
-    folder = F.regexp_extract("src", r"(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)", 1)
-    full = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(scheme, "to")).when(F.col("to").startswith("/"), F.concat(origin, "to")).otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), "to"))
-    return found.select("src", full.alias("dst"))
+    page, folder = F.regexp_extract("src", r"(?s)^([^?#]*)", 1), F.regexp_extract("src", r"(?s)^.*?://[^/?#]*([^?#]*/)?", 1)
+    path = F.when(F.col("to").startswith("/"), F.col("to")).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), "to"))
+    own, rest = F.regexp_extract(path, r"(?s)^([^?#]*)", 1), F.regexp_extract(path, r"(?s)^[^?#]*(.*)$", 1)
+    parts = F.split(F.expr("substring(_own, 2)"), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, s: F.when(s == ".", a).when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s))))
+    ends = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    joined = F.concat(origin, F.lit("/"), F.array_join(kept, "/"), ends, "_rest")
+    full = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(scheme, "to")).when(F.col("to").startswith("?"), F.concat(page, "to")).when(F.col("to").startswith("#"), F.col("src")).otherwise(joined)
+    return found.withColumns({"_own": own, "_rest": rest}).select("src", full.alias("dst"))
 
 
 def url_filter(pages: DataFrame, rules: DataFrame, edges: DataFrame, id: str = "page_id", url: str = "url") -> DataFrame:

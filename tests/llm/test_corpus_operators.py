@@ -333,6 +333,15 @@ def test_url_filter(spark):
     assert url_filter.url_filter(pages.where("false"), rules, url_filter.page_edges(pages)).count() == 0
 
 
+def test_page_edges(spark):
+    src = "https://A.com/x/y/z.html?q=1#f"
+    want = {"b": "https://A.com/x/y/b", "../b": "https://A.com/x/b", "./b/./c": "https://A.com/x/y/b/c", "../../../b": "https://A.com/b", "/r/../s?u=../v": "https://A.com/s?u=../v", "?p=2": "https://A.com/x/y/z.html?p=2", "//o.net/k": "https://o.net/k", "http://o.net/a?b&amp;c=1": "http://o.net/a?b&c=1", "..": "https://A.com/x/", "#top": src}
+    html = "".join(f'<link rel="canonical" href="{t}">' for t in want) + '<META http-equiv=refresh content="3; URL=/one"><meta http-equiv="refresh" content="0;url=/two">'
+    pages = spark.createDataFrame([(src, html), (None, html), ("https://b.com", '<link rel="canonical" href="c">'), ("https://c.com", None), ("https://d.com", "<p>none</p>")], "url string, html string")
+    got = sorted((r.src, r.dst) for r in url_filter.page_edges(pages).collect())
+    assert got == sorted([(src, x) for x in [*want.values(), "https://A.com/one", "https://A.com/two"]] + [("https://b.com", "https://b.com/c")])
+
+
 def test_url_filter_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
