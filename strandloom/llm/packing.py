@@ -26,7 +26,7 @@ from strandloom.plans.runtime import cut
 #: Items that one task packs at once; more are packed in several lots.
 LOT = 200_000
 #: Distinct words, and words with marks behind them, whose ids a worker remembers.
-REMEMBERED, CORES = 200_000, 400_000
+REMEMBERED, CORES = 100_000, 200_000
 #: Bytes of text whose new words are encoded in one call, about.
 GROUP = 1 << 20
 _SCHEMA = "doc_id {id}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"

@@ -271,7 +271,7 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
             yield b.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
     met = pairs.join(sets.toDF("src", "x"), "src").join(sets.toDF("dst", "y"), "dst")
-    return cut(met.select("src", "dst", "x", "y").mapInArrow(compare, "src long, dst long"), "links")
+    return cut(met.select("src", "dst", "x", "y").mapInArrow(_released(compare), "src long, dst long"), "links")
 
 
 _DIFFERENCES = "node long, key long, pos int, size int, n int"
@@ -308,6 +308,16 @@ def possible_pairs(pairs: DataFrame, sketches: DataFrame, similarity: float) ->
     return met.select("src", "dst", "m", "x", "n", "y").mapInArrow(compare, "src long, dst long")
 
 
+def _released(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``task``, after which the worker, which other stages use again, gives back what Arrow holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def _shingle_arrays(texts: list[bytes], shingle_words: int) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(words(t), shingle_words)) for t in texts]
 
@@ -349,8 +359,8 @@ def repeated(rows: DataFrame, hashes: Callable[[pa.Array], list[np.ndarray]], le
         if held:
             yield close()
 
-    sent = rows.mapInArrow(send, "owner long, piece binary")
-    return cut(sent.repartition("owner").sortWithinPartitions("owner").mapInArrow(count, "h long, n long"), "often")
+    sent = rows.mapInArrow(_released(send), "owner long, piece binary")
+    return cut(sent.repartition("owner").sortWithinPartitions("owner").mapInArrow(_released(count), "h long, n long"), "often")
 
 
 def _levels(rows: DataFrame, hashes: Callable[[pa.Array], list[np.ndarray]], levels: tuple[int, ...], about: int) -> list[np.ndarray | None]:
@@ -387,7 +397,7 @@ def shingle_sets(texts: DataFrame, shingle_words: int, similarity: float, often)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made.values()], names=["id", "th", *made])
 
     schema = texts.select("id", "th").schema.add("node", "long").add("fp", "long").add("n", "long").add("sketch", "binary").add("prefix", ArrayType(LongType()))
-    return texts.select("id", "th", F.col("text").cast("binary").alias("_bytes_")).mapInArrow(run, schema)
+    return texts.select("id", "th", F.col("text").cast("binary").alias("_bytes_")).mapInArrow(_released(run), schema)
 
 
 def simhash_candidates(nodes: DataFrame, radius: int) -> DataFrame:
@@ -450,9 +460,10 @@ def near_duplicate_links(members: DataFrame, met: DataFrame, verify: Callable[[D
     tested = cut(pair(first, "x.node", "y.node").union(met).distinct(), "pairs")
     linked = verify(tested)
     near = cut(connected_components(linked), "near")
-    spots = known.drop("links").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mains = hubs.select("key", "rows", F.col("y.node").alias("hub")).join(near.toDF("hub", "main"), "hub", "left").withColumn("main", F.coalesce("main", "hub"))
-    placed = cut(spots.join(mains, "key"), "placed")
+    # of two members one is the hub, so that pair is done
+    mains = hubs.where("rows > 2").select("key", "rows", F.col("y.node").alias("hub")).join(near.toDF("hub", "main"), "hub", "left").withColumn("main", F.coalesce("main", "hub"))
+    spots = known.drop("links").join(mains, "key").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = cut(spots.select("key", "node", "pos", "n", "component", "rows", "hub", "main"), "placed")
     few, many = placed.where(F.col("rows") <= overlap.RUN), placed.where(F.col("rows") > overlap.RUN)
     apart = (F.col("x.component") != F.col("z.component")) & overlap.may_reach("x", "z", similarity)
     once = (F.col("x.node") < F.col("z.node")) | (F.col("z.component") == F.col("z.main"))
