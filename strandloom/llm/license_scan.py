@@ -30,7 +30,7 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ["licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
     "CC0-1.0": ["to the extent possible under law the author has waived all copyright and related rights to this work", "dedicated to the public domain under cc0 1 0"],
     "GPL-2.0": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu gpl version 2"],
-    "GPL-3.0": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "licensed under the gnu gpl version 3"],
+    "GPL-3.0": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "under the terms of the gnu general public license as published by the free software foundation", "licensed under the gnu gpl version 3"],
     "LGPL-3.0": ["licensed under the gnu lesser general public license version 3", "under the terms of the gnu lesser general public license"],
     "MIT": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "licensed under the mit license"],
     "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0"],
@@ -56,8 +56,27 @@ def _shingles(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + 2]) for i in range(len(words) - 1)} or set(words)
 
 
-def fit(unknown: list[str], seed: int = 11, copies: int = 25, steps: int = 400, l1: float = 2e-4) -> dict:
-    """Weights of n-grams for each class, temperature, and the words without which all weights are zero."""
+def gate_words(rate: dict[str, float], confirm: float) -> list[str]:
+    """Rare words of which every text has one that holds the share ``confirm`` of some template's word pairs.
+
+    Of each template the rarest words are taken, until fewer pairs than that are left without one.
+    """
+    found: set[str] = set()
+    for t in sorted(x for ts in TEMPLATES.values() for x in ts):
+        pairs = _shingles(_words(t))
+        touched = lambda w: sum(w in p.split() for p in pairs)
+        words = sorted(set(_words(t)), key=lambda w: (rate.get(w, 0), w not in found, -touched(w), w))
+        left, taken = set(pairs), set()
+        while len(left) >= confirm * len(pairs) and words:
+            w = words.pop(0)
+            taken.add(w)
+            left = {p for p in left if w not in p.split()}
+        found |= taken
+    return sorted(found)
+
+
+def fit(unknown: list[str], confirm: float = 0.6, seed: int = 11, copies: int = 25, steps: int = 400, l1: float = 2e-4) -> dict:
+    """Weights of n-grams for each class, temperature, and the words without one of which no template is met."""
     rng = np.random.default_rng(seed)
     families = sorted(TEMPLATES)
     classes = [*families, UNKNOWN]
@@ -109,8 +128,7 @@ def fit(unknown: list[str], seed: int = 11, copies: int = 25, steps: int = 400,
     s = x[held] @ w + b
     best = min((float(t) for t in np.geomspace(0.2, 5, 60)), key=lambda t: -np.log(np.maximum((np.exp((s - s.max(1, keepdims=True)) / t) / np.exp((s - s.max(1, keepdims=True)) / t).sum(1, keepdims=True))[np.arange(len(s)), y[held]], 1e-9)).mean() if len(s) else t)
     used = [i for i in range(len(vocabulary)) if np.any(w[i])]
-    gate = sorted({min(vocabulary[i].split(), key=lambda v: (rate.get(v, 0), v)) for i in used})
-    return {"classes": classes, "grams": [vocabulary[i] for i in used], "w": w[used].astype(float), "b": b.astype(float), "t": best, "gate": gate}
+    return {"classes": classes, "grams": [vocabulary[i] for i in used], "w": w[used].astype(float), "b": b.astype(float), "t": best, "gate": gate_words(rate, confirm)}
 
 
 def _lines(text: str):
@@ -153,14 +171,14 @@ def license_scan(docs: DataFrame, id: str = "doc_id", text: str = "text", least:
     share = min(1.0, SAMPLE / max(1, own.count()))  # of the documents, so that few paragraphs travel
     drawn = own.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) <= int(share * (1 << 30))).select(F.explode(F.split("text", _LINE)).alias("p")).where("p <> ''")
     sample = [r["p"] for r in drawn.select("p", F.xxhash64("p").alias("k")).distinct().orderBy("k", "p").limit(SAMPLE).collect()]
-    model = fit(sample)
+    model = fit(sample, confirm)
     n, reach = len(model["classes"]), max(len(_words(t)) for ts in TEMPLATES.values() for t in ts)
     # both tables are as large as the notices above, whatever the data
     weights = spark.createDataFrame([(g, [float(v) for v in w]) for g, w in zip(model["grams"], model["w"], strict=True)], "gram string, w array<double>")
     templates = spark.createDataFrame([(f, sorted(_shingles(_words(t)))) for f, ts in TEMPLATES.items() for t in ts], "family string, parts array<string>")
     templates = templates.groupBy("family").agg(F.collect_list("parts").alias("templates"))
 
-    # one pass over each text tells whether any weight applies; only then it is cut into lines
+    # one pass over each text tells whether a template may be met; only then it is cut into lines
     named = F.coalesce(F.lower("text").rlike(f"(?<![a-z0-9])(?:{'|'.join(model['gate'])})(?![a-z0-9])"), F.lit(False))
     base = own.select("id", F.monotonically_increasing_id().alias("row"), F.when(named, _lines("text")).alias("lines"), F.array(*map(F.lit, model["gate"])).alias("gate"))
     opened = base.select("id", "row", F.posexplode_outer(F.expr(f"if(lines is null, null, {_windows(reach)})")).alias("place", "x"))

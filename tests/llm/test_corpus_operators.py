@@ -842,8 +842,8 @@ def test_license_scan_brute(spark):
     docs = docs_of(spark, texts + plain)
     model = {}
 
-    def kept(sample, fit=license_scan.fit):
-        model.update(fit(sample))
+    def kept(sample, confirm, fit=license_scan.fit):
+        model.update(fit(sample, confirm))
         return model
 
     with pytest.MonkeyPatch.context() as m:
