@@ -56,6 +56,10 @@ def discard(*cuts: DataFrame) -> None:
 ARROW_ROWS, ARROW_BYTES = "1000", str(8 << 20)
 
 
+#: Workers live through many stages: one allocator that gives memory back, and no threads of their own.
+WORKER_ENVIRONMENT = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1048576", "OPENBLAS_NUM_THREADS": "1"}
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from the driver's source folder, and keep their batches small."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
@@ -66,6 +70,8 @@ def ready(spark: SparkSession) -> SparkSession:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    for name, value in WORKER_ENVIRONMENT.items():
+        env.setdefault(name, value)
     return spark
 
 
