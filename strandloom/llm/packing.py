@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +26,9 @@ from strandloom.plans.runtime import cut
 
 #: Items that one task packs at once; more are packed in several lots.
 LOT = 200_000
-#: Distinct words, and words with marks behind them, whose ids a worker remembers.
-REMEMBERED, CORES = 100_000, 200_000
-#: Bytes of text whose new words are encoded in one call, about.
+#: Distinct words met lately whose ids a worker remembers, and as many of those before them.
+REMEMBERED = 150_000
+#: Bytes of text whose words are looked up in one call, about.
 GROUP = 1 << 20
 _SCHEMA = "doc_id {id}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"
 
@@ -36,19 +37,21 @@ class WordTokenizer:
     """Ids of whole texts, word by word.
 
     The vocabulary's splitting never joins characters across white space, nor what normalises to a final letter
-    or digit with the marks behind it, and is blind to case; so a text's ids are those of its words and marks in order. Ids of
-    a word are looked up; the new words of many texts are encoded in one call, with a separator between
-    them whose id nothing else has.
+    or digit with the marks behind it, and is blind to case; so a text's ids are those of its words and marks in order.
+    The words of many texts are told apart at once, as columns; ids of a word are looked up, and put together by numpy.
+    Of the words not met lately, those of letters are split by the vocabulary's model; the others are encoded in one
+    call, with a separator between them whose id nothing else has.
     """
 
     MARKS = b"!#$%&*,.:;?|"
+    ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self.met: dict[bytes, bytes] = {}
+        self.earlier: dict[bytes, bytes] = {}
         self.model = self.tokenizer.model
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level vocabularies write these bytes as themselves
         rest = (b for b in range(256) if b not in plain)
@@ -59,28 +62,29 @@ class WordTokenizer:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _encode(self, new: list[bytes]) -> None:
-        cores, split, pack = self.cores, self.model.tokenize, struct.pack
-        plain, odd = [], []
-        for w in new:
+    def _encode(self, new: list[bytes]) -> list[bytes]:
+        split, pack = self.model.tokenize, struct.pack
+        out, plain = [b""] * len(new), []
+        for i, w in enumerate(new):
             s = w.decode()
             if s.isalpha() and (s.isascii() or self._latin(s)):
                 # letters of one case and form: normalising and splitting leave them whole
                 ids = [t.id for t in split(s if s.isascii() else s.lower().encode().decode("latin-1").translate(self.letters))]
-                cores[w] = pack(f"<{len(ids)}I", *ids)
-            else:
-                (odd if "\x00" in s or "<|" in s else plain).append(w)
-        for w in odd:
-            ids = self._ids(w.decode())
-            cores[w] = pack(f"<{len(ids)}I", *ids)
+                out[i] = pack(f"<{len(ids)}I", *ids)
+            elif "\x00" in s or "<|" in s:
+                ids = self._ids(s)
+                out[i] = pack(f"<{len(ids)}I", *ids)
+            elif s:
+                plain.append((i, s))
         if plain:
-            ids = np.array(self._ids(" \x00 ".join([w.decode() for w in plain])), "<u4")
+            ids = np.array(self._ids(" \x00 ".join([s for _, s in plain])), "<u4")
             ends = np.append(np.flatnonzero(ids == self.separator[0]), len(ids))
             assert len(ends) == len(plain)
             data, at = ids.tobytes(), 0
-            for w, end in zip(plain, (ends * 4).tolist(), strict=True):
-                cores[w] = data[at:end]
+            for (i, _), end in zip(plain, (ends * 4).tolist(), strict=True):
+                out[i] = data[at:end]
                 at = end + 4
+        return out
 
     @staticmethod
     def _latin(s: str) -> bool:
@@ -96,40 +100,77 @@ class WordTokenizer:
         last = unicodedata.normalize("NFC", core.decode()).lower()[-1:]
         return unicodedata.category(last)[0] in "LN"
 
-    def _learn(self, tokens: set[bytes]) -> None:
-        parts, marks = {}, self.MARKS
-        for t in tokens:
-            core = t.rstrip(marks)
-            if core and len(core) < len(t) and b"<|" not in t and self._whole(core):
-                parts[t] = (core, t[len(core) :])
-            else:
-                parts[t] = (t,)
-        new = list({c for p in parts.values() for c in p if c not in self.cores})
-        if len(self.cores) + len(new) > CORES:
-            self.cores.clear()
-            new = list({c for p in parts.values() for c in p})
-        self._encode(new)
-        cores = self.cores
-        for t, p in parts.items():
-            self.words[t] = cores[p[0]] if len(p) == 1 else cores[p[0]] + cores[p[1]]
+    def _look(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words. Words met lately are kept, those before them until as many others have been met."""
+        met, earlier = self.met, self.earlier
+        out = list(map(met.get, words))
+        new = []
+        for i, ids in enumerate(out):
+            if ids is None:
+                w = words[i]
+                if (ids := earlier.get(w)) is None:
+                    new.append(i)
+                else:
+                    out[i] = met[w] = ids
+        for i, ids in zip(new, self._encode([words[i] for i in new]), strict=True):
+            out[i] = met[words[i]] = ids
+        if len(met) > REMEMBERED:
+            self.met, self.earlier = {}, met
+        return out
+
+    def _parts(self, tokens: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray, pa.LargeStringArray]:
+        """Of each token its word, whether marks were taken off that, and these marks."""
+        core = pc.ascii_rtrim(tokens, characters=self.MARKS.decode())
+        ends = np.frombuffer(core.buffers()[1], np.int64)[: len(core) + 1]
+        length = np.diff(ends)
+        cut = (length > 0) & (length < pc.binary_length(tokens).to_numpy()) & ~pc.match_substring(tokens, "<|").to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(cut)
+        if not len(at):
+            return tokens, cut, tokens.slice(0, 0)
+        last = np.frombuffer(core.buffers()[2], np.uint8)[ends[at + 1] - 1]
+        cut[at] = self.ALNUM[last]
+        odd = at[last > 127]
+        cut[odd] = [self._whole(c) for c in core.take(pa.array(odd)).cast(pa.large_binary()).to_pylist()]
+        whole = tokens.filter(pa.array(cut)).cast(pa.large_binary()).to_pylist()
+        marks = [t[n:] for t, n in zip(whole, length[cut].tolist(), strict=True)]
+        return pc.if_else(pa.array(cut), core, tokens), cut, pa.array(marks, pa.large_string())
 
     def many(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        distinct = set().union(*split)
-        new = distinct - self.words.keys()
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = distinct
-        if new:
-            self._learn(new)
-        ids = self.words.__getitem__
-        return [b"".join(map(ids, s)) for s in split]
+        if not texts:
+            return []
+        texts = [t if b"<|" in t else t.lower() for t in texts]
+        ends = np.cumsum([0, *map(len, texts)])
+        lists = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(b"".join(texts))))
+        coded = lists.values.dictionary_encode()
+        words, cut, marks = self._parts(coded.dictionary)
+        pool = pa.chunked_array([words, marks]).combine_chunks().dictionary_encode()
+        found = self._look(pool.dictionary.cast(pa.large_binary()).to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(size) - size
+        # of each distinct token the ids of its word, then of its marks
+        code = pool.indices.to_numpy()
+        runs = np.zeros((len(cut), 2, 2), np.int64)
+        runs[:, 0] = np.stack([first, size], 1)[code[: len(cut)]]
+        runs[cut, 1] = np.stack([first, size], 1)[code[len(cut) :]]
+        ids = _gather(np.frombuffer(b"".join(found), "<u4"), runs[:, :, 0].ravel(), runs[:, :, 1].ravel())
+        size = runs[:, :, 1].sum(1)
+        each = coded.indices.to_numpy()
+        n = size[each]
+        ids = _gather(ids, (np.cumsum(size) - size)[each], n)
+        at = np.append(0, np.cumsum(n))[lists.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
 
     def __call__(self, data: bytes) -> np.ndarray:
         return np.frombuffer(self.many([data])[0], "<u4")
 
 
+def _gather(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that begin at ``first``, one after the other."""
+    ends = np.cumsum(size)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)]
+
+
 _tokenizers: dict[str, WordTokenizer] = {}
 
 

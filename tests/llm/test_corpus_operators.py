@@ -402,6 +402,23 @@ def test_word_lookup_equals_whole_text_tokens(spark):
         assert own(x.encode()).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_common_words_outlive_rare_ones(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "REMEMBERED", 400)
+    monkeypatch.setattr(packing, "CORES", 400, raising=False)
+    t = Tokenizer.from_file(registry.vocabulary_path())
+    own = packing.WordTokenizer(registry.vocabulary_path())
+    encode, new = own._encode, []
+    monkeypatch.setattr(own, "_encode", lambda words: (new.extend(words), encode(words))[1])
+    for k in range(40):
+        texts = [f"the fox. {k}x{i} the fox {i % 7}, É{k}!" for i in range(90)]
+        for x, ids in zip(texts, own.many([x.encode() for x in texts])):
+            assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    assert len(new) > 3600 and new.count(b"the") == new.count(b"fox") == 1
+    assert len(getattr(own, "met", ())) + len(getattr(own, "earlier", ())) < 1000
+
+
 def test_best_fit_packs_tightly():
     rng = np.random.default_rng(1)
     n = rng.integers(1, 4097, 3000)
