@@ -69,7 +69,8 @@ class WordTokenizer:
             s = w.decode()
             if s.isalpha() and (s.isascii() or self._latin(s)):
                 # letters of one case and form: normalising and splitting leave them whole
-                ids = [t.id for t in split(s if s.isascii() else s.lower().encode().decode("latin-1").translate(self.letters))]
+                s = s.lower()
+                ids = [t.id for t in split(s if s.isascii() else s.encode().decode("latin-1").translate(self.letters))]
                 out[i] = pack(f"<{len(ids)}I", *ids)
             elif "\x00" in s or "<|" in s:
                 ids = self._ids(s)

@@ -402,6 +402,15 @@ def test_word_lookup_equals_whole_text_tokens(spark):
         assert own(x.encode()).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_words_in_capitals_beside_special_tokens():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(registry.vocabulary_path())
+    own = packing.WordTokenizer(registry.vocabulary_path())
+    for x in ("The <|endoftext|> Fox", "N <|", "<|x|> É ÉTÉ.", "A<|endoftext|>B C"):
+        assert own(x.encode()).tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
 def test_common_words_outlive_rare_ones(monkeypatch):
     from tokenizers import Tokenizer
 
