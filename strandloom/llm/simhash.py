@@ -337,7 +337,8 @@ def repeated(rows: DataFrame, hashes: Callable[[pa.Array], list[np.ndarray]], le
             owner = (h >> np.uint64(64 - bits) if bits else np.zeros(len(h), np.uint64)).astype(np.int64)
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(h) else np.zeros(0, np.int64)
             starts = np.union1d(starts, np.arange(0, len(h), PIECE))  # workers get many pieces at once
-            pieces = [h[lo:hi].tobytes() for lo, hi in zip(starts, np.r_[starts[1:], len(h)], strict=True)]
+            ends = np.r_[starts, len(h)]  # no piece of a batch without hashes
+            pieces = [h[lo:hi].tobytes() for lo, hi in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(owner[starts]), pa.array(pieces, pa.binary())], names=["owner", "piece"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

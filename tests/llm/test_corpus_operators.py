@@ -904,6 +904,14 @@ def test_pipeline_stages(spark):
     assert packed.count() and packed.columns[0] == "doc_id"
 
 
+def test_repeated_hashes_where_batches_have_none(spark):
+    held = [[], [], [], [5, 1 << 63], [5], [5, 7], [1 << 63]]
+    hashes = lambda column: [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+    rows = spark.createDataFrame([(np.array(h, np.uint64).tobytes(),) for h in held], "x binary")
+    for part, want in ((rows, [(-(1 << 63), 2), (5, 3)]), (rows.where("length(x) = 0"), []), (rows.where("false"), [])):
+        assert sorted(map(tuple, simhash.repeated(part, hashes, 2, len(held)).collect())) == want
+
+
 def test_pipeline_stages_on_awkward_rows(spark, rough):
     """Each stage by brute force on what the one before kept, over rows with nulls, repeats, long texts and clashing columns."""
     import corpus_pipeline
