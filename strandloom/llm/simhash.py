@@ -277,19 +277,50 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
 _DIFFERENCES = "node long, key long, pos int, size int, n int"
 
 
+def cores(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(hub, core, width)`` of the runs in ``pairs`` (node, hub): what most of some members hold, and a twentieth of their median size.
+
+    Each of ``overlap.TELLERS`` lots of a run's members gives one of them; the core makes differences short, and
+    all members are compared by it.
+    """
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        now = None
+
+        def close() -> pa.RecordBatch:
+            core, width = overlap.common(held).tobytes(), max(1, int(np.median([len(s) for s in held])) // 20)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([core], pa.binary()), pa.array([width], pa.int32())], names=["hub", "core", "width"])
+
+        for b in batches:
+            for hub, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if held and hub != now:
+                    yield close()
+                now = hub
+                held.append(np.frombuffer(s, np.uint64))
+        if held:
+            yield close()
+
+    tellers = pairs.groupBy("hub", F.pmod(F.xxhash64("node"), F.lit(overlap.TELLERS))).agg(F.min("node").alias("node")).select("hub", "node")
+    told = tellers.join(sets, "node").select("hub", "set").repartition("hub").sortWithinPartitions("hub")
+    return cut(told.mapInArrow(_released(tell), "hub long, core binary, width int"), "cores")
+
+
 def difference_keys(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``(node, key, pos, size, n)`` of ``pairs`` (node, hub): see :func:`overlap.difference_keys`."""
+    """``(node, key, pos, size, n)`` of ``pairs`` (node, hub): see :func:`overlap.difference_keys`; and a row of each pair with pos -1 and the hub as key."""
     often = pairs.sparkSession.sparkContext.broadcast(_levels(sets.select("set"), lambda c: [np.frombuffer(x, np.uint64) for x in c.to_pylist()], overlap.NEAR_LEVELS, (sets.agg(F.sum(F.octet_length("set"))).first()[0] or 0) // 8))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for node, hub, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for node, hub, x, core, width in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 x = np.frombuffer(x, np.uint64)
-                made, at, size = overlap.difference_keys(x, np.frombuffer(y, np.uint64), hub, often.value, similarity)
-                same = lambda v, kind, k=len(made): pa.array(np.full(k, v, kind))
-                yield pa.RecordBatch.from_arrays([same(node, np.int64), pa.array(made.view(np.int64)), pa.array(at.astype(np.int32)), same(size, np.int32), same(len(x), np.int32)], names=["node", "key", "pos", "size", "n"])
+                made, at, size = overlap.difference_keys(x, np.frombuffer(core, np.uint64), width, hub, often.value, similarity)
+                key, pos = np.r_[np.int64(hub), made.view(np.int64)], np.r_[-1, at].astype(np.int32)
+                same = lambda v, kind, k=len(key): pa.array(np.full(k, v, kind))
+                yield pa.RecordBatch.from_arrays([same(node, np.int64), pa.array(key), pa.array(pos), same(size, np.int32), same(len(x), np.int32)], names=["node", "key", "pos", "size", "n"])
 
-    met = pairs.join(sets.toDF("node", "x"), "node").join(sets.toDF("hub", "y"), "hub").select("node", "hub", "x", "y")
+    met = pairs.join(sets.toDF("node", "x"), "node").join(cores(pairs, sets), "hub").select("node", "hub", "x", "core", "width")
     return met.mapInArrow(keys, _DIFFERENCES)
 
 
@@ -451,7 +482,8 @@ def near_duplicate_links(members: DataFrame, met: DataFrame, verify: Callable[[D
     ``members`` (key, node, pos, n): prefix hashes that several sets hold; ``met``: candidates by SimHash.
     Of each hash, one member is the hub: the one with most candidates. The first round compares the hubs with
     the others, and ``met``. The second compares members that are in different components still: each with
-    each where a hash has few members, else those that share a key of their ``differences`` from the hub.
+    each where a hash has few members, else those that share a key of their ``differences`` from what most
+    members hold; pairs whose differences are so small that they are similar for sure are linked by a star.
     """
     degree = met.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     known = cut(members.join(degree, "node", "left").select("key", "node", "pos", "n", F.coalesce("links", F.lit(0).cast("long")).alias("links")), "known")
@@ -471,13 +503,18 @@ def near_duplicate_links(members: DataFrame, met: DataFrame, verify: Callable[[D
     short = few.where("component <> main").alias("x").join(few.alias("z"), "key").where(once & apart)
     mixed = many.groupBy("key").agg(F.max(F.col("component") != F.col("main")).alias("mixed")).where("mixed").select("key")
     keys = cut(differences(many.join(mixed, "key").where("node <> hub").select("node", "hub").distinct()), "differences")
-    often = keys.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
-    where = cut(keys.join(often, "key").join(near, "node", "left").withColumn("component", F.coalesce("component", "node")), "differences")
-    long = where.alias("x").join(where.alias("z"), "key").where("x.node < z.node and x.component <> z.component").where(overlap.may_reach_by_difference("x", "z", similarity))
-    rest = cut(pair(short, "x.node", "z.node").union(pair(long, "x.node", "z.node")).distinct().join(tested, ["src", "dst"], "left_anti"), "pairs")
+    shown = lambda df: df.join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ends = cut(shown(keys.where("pos < 0")), "ends")
+    centres = ends.groupBy("key").agg(F.min(F.struct(overlap.difference_excess(F.col("size"), F.col("n"), similarity).alias("excess"), "node", "size", "n", "component")).alias("z")).select("key", "z.*")
+    star = ends.alias("x").join(centres.alias("z"), "key").where("x.component <> z.component").where(overlap.surely_similar("x", "z", similarity))
+    often = keys.where("pos >= 0").groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    where = cut(shown(keys.where("pos >= 0").join(often, "key")), "differences")
+    unsure = overlap.may_reach_by_difference("x", "z", similarity) & ~overlap.surely_similar("x", "z", similarity)
+    long = where.alias("x").join(where.alias("z"), "key").where("x.node < z.node and x.component <> z.component").where(unsure)
+    rest = cut(pair(short, "x.node", "z.node").union(pair(star, "x.node", "z.node")).union(pair(long, "x.node", "z.node")).distinct().join(tested, ["src", "dst"], "left_anti"), "pairs")
     more = verify(rest)
     out = cut(connected_components(linked.union(more)), "near")
-    discard(known, hubs, tested, linked, near, placed, keys, where, rest, more)
+    discard(known, hubs, tested, linked, near, placed, keys, ends, where, rest, more)
     return out
 
 

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -220,6 +221,52 @@ def test_near_duplicates_with_hot_passages_and_groups(spark):
     assert {r.doc_id for r in simhash.near_duplicate_filter(docs_of(spark, texts)).collect()} == brute_near_groups(texts)
 
 
+def test_differences_miss_no_similar_pair():
+    """Two similar sets of a run share a key that no bound leaves out, or both are in the star of sure pairs, whatever the core is."""
+    rng = np.random.default_rng(11)
+    part, met = 0.2 / 1.8, 0
+    for k in range(12):
+        base = np.unique(rng.integers(0, 1 << 63, 150, dtype=np.uint64))
+        variants = [np.unique(np.r_[rng.permutation(base)[20:], rng.integers(0, 1 << 63, 20, dtype=np.uint64)]) for _ in range(3)]
+        made = [(base, *variants)[rng.integers(4)] for _ in range(40)]
+        sets = [np.unique(np.r_[rng.permutation(m)[(n := rng.integers(0, 25)) :], rng.integers(0, 1 << 63, n, dtype=np.uint64)]) for m in made]
+        core = (overlap.common(sets), sets[0], np.zeros(0, np.uint64))[k % 3]
+        often = [rng.integers(0, 1 << 63, 8, dtype=np.uint64) for _ in range(2)]  # any filters give an order
+        keys, at, size = zip(*(overlap.difference_keys(s, core, 7, 5, often, 0.8) for s in sets))
+        excess = [d - part * len(s) for d, s in zip(size, sets)]
+        centre = int(np.argmin(excess))
+        for i, j in combinations(range(len(sets)), 2):
+            x, y = sets[i], sets[j]
+            both = len(np.intersect1d(x, y))
+            similar = both >= 0.8 * (len(x) + len(y) - both) - overlap.SLACK
+            if excess[i] + excess[j] <= overlap.SLACK:
+                assert similar and excess[centre] + max(excess[i], excess[j]) <= overlap.SLACK
+            elif similar:
+                place = dict(zip(keys[j].tolist(), at[j].tolist()))
+                least = (size[i] + size[j] - part * (len(x) + len(y))) / 2 - overlap.SLACK
+                assert any(h in place and min(size[i] - a, size[j] - place[h]) >= least for h, a in zip(keys[i].tolist(), at[i].tolist()))
+                met += 1
+    assert met > 300
+
+
+def test_copies_changed_in_different_places_are_not_compared(spark, monkeypatch):
+    """Hundreds of copies, each changed in three places or one: changes of the hub are no changes of the others."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(300):
+        t = list(base)
+        for p in rng.sample(range(10, 140), 3 if i % 10 else 1):
+            t[p] = f"x{i}_{p}"
+        texts.append(" ".join(t))
+    rng.shuffle(texts)
+    compared = []
+    possible = simhash.possible_pairs
+    monkeypatch.setattr(simhash, "possible_pairs", lambda pairs, *more: compared.append(pairs.count()) or possible(pairs, *more))
+    assert {r.doc_id for r in simhash.near_duplicate_filter(docs_of(spark, texts)).collect()} == brute_near_groups(texts)
+    assert sum(compared) < len(texts) * (len(texts) - 1) // 8  # a quarter of all pairs
+
+
 def test_sketches_never_bound_too_low():
     rng = np.random.default_rng(5)
     for _ in range(300):
