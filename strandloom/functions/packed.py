@@ -13,7 +13,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The top bit is flipped, so that signed longs sort like unsigned ones.
 _SIGN = np.uint64(1 << 63)
@@ -94,30 +93,7 @@ def kmer_text(k: int) -> Column:
     return spelled("h", "l")
 
 
-def is_palindrome(k: int) -> Column:
-    """Whether the k-mer of ``h`` and ``l`` is its own other strand."""
-
-    @F.pandas_udf("boolean")
-    def same(h: pd.Series, l: pd.Series) -> pd.Series:
-        b = bases(h.to_numpy(), l.to_numpy(), k)
-        return pd.Series((b == 3 - b[:, ::-1]).all(1))
-
-    return same("h", "l")
-
-
-def first_base(k: int) -> Column:
-    """Code of the first base of the k-mer of ``h`` and ``l``."""
-    column, at = ("l", k - 1) if k <= 32 else ("h", k - 33)
-    flipped = F.col(column).bitwiseXOR(F.lit(-(1 << 63)))
-    return F.shiftrightunsigned(flipped, 2 * at).bitwiseAND(F.lit(3))
-
-
-def last_base() -> Column:
-    """Code of the last base; the flipped top bit is none of it."""
-    return F.col("l").bitwiseAND(F.lit(3))
-
-
-def _batches(values: list[bytes]) -> Iterator[bytes]:
+def joined(values: list[bytes]) -> Iterator[bytes]:
     """Texts end to end with a gap between, about ``BLOCK`` bytes at once; longer texts go alone."""
     held, size = [], 0
     for v in values:
@@ -130,46 +106,118 @@ def _batches(values: list[bytes]) -> Iterator[bytes]:
         yield b"-".join(held)
 
 
-def distinct_words(table: DataFrame, text: str, k: int) -> DataFrame:
-    """``(h, l, short)``, distinct: canonical (k+1)-mers, and as ``short`` the k-mers that are a gap-free run alone."""
+def keys(h: np.ndarray, l: np.ndarray, w: int) -> np.ndarray:
+    """One sortable value for each word of ``w`` bases (unsigned): a long, or both as 16 bytes."""
+    return l if w <= 32 else np.ascontiguousarray(np.stack([h, l], 1).astype(">u8")).view("S16").ravel()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in _batches(b.column(0).to_pylist()):
-                h, l, _, _, good = windows(data, k + 1)
-                sh, sl, _, _, alone = windows(data, k)
-                # a k-mer that no good window of k + 1 holds
-                alone = alone.copy()
-                alone[: len(good)] &= ~good
-                alone[1 : len(good) + 1] &= ~good
-                for h, l, keep, short in ((h, l, good, False), (sh, sl, alone, True)):
-                    found = np.unique(np.stack([h[keep], l[keep]]), axis=1) if k >= 32 else np.stack([np.zeros(0, np.uint64)] * 2)
-                    if k < 32:
-                        one = np.unique(l[keep])
-                        found = np.stack([np.zeros(len(one), np.uint64), one])
-                    if found.shape[1]:
-                        yield pa.RecordBatch.from_arrays([pa.array(signed(found[0])), pa.array(signed(found[1])), pa.array(np.full(found.shape[1], short))], names=["h", "l", "short"])
-
-    return table.select(F.col(text).cast("binary").alias("t")).mapInArrow(run, "h long, l long, short boolean").distinct()
-
-
-def halves(words: DataFrame, k: int) -> DataFrame:
-    """``words`` (h, l of (k+1)-mers, ...) with both canonical halves: ``ah, al, from_rev, apal`` and ``bh, bl, to_rev, bpal``."""
-    schema = T.StructType(words.schema.fields[:])
-    made = ["ah long", "al long", "from_rev boolean", "apal boolean", "bh long", "bl long", "to_rev boolean", "bpal boolean"]
-    for m in made:
-        schema = schema.add(*m.split())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes = bases(b.column("h").to_numpy(), b.column("l").to_numpy(), k + 1)
-            text = _LETTERS[codes].tobytes()
-            h, l, turned, same, _ = windows(text, k)
-            at = np.arange(b.num_rows) * (k + 1)
-            cols = [pa.array(c) for i in (at, at + 1) for c in (signed(h[i]), signed(l[i]), turned[i], same[i])]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=schema.names)
-
-    return words.mapInArrow(run, schema)
+def parts_of(key: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """``h`` and ``l`` of :func:`keys`."""
+    if w <= 32:
+        return np.zeros(len(key), np.uint64), key
+    both = np.ascontiguousarray(key).view(">u8").reshape(-1, 2).astype(np.uint64)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def _turned(x: np.ndarray) -> np.ndarray:
+    """The reverse complement of 32 bases."""
+    x = ~x
+    for shift, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F)):
+        s, m = np.uint64(shift), np.uint64(mask)
+        x = ((x >> s) & m) | ((x & m) << s)
+    return x.byteswap()
+
+
+def other_strand(h: np.ndarray, l: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Reverse complements of words of ``w`` bases (unsigned)."""
+    if w <= 32:
+        return np.zeros(len(l), np.uint64), _turned(l) >> np.uint64(64 - 2 * w)
+    top, low, s = _turned(l), _turned(h), 2 * (64 - w)
+    return (top >> np.uint64(s), (low >> np.uint64(s)) | (top << np.uint64(64 - s))) if s else (top, low)
+
+
+def less(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    return (a[0] < b[0]) | ((a[0] == b[0]) & (a[1] < b[1]))
+
+
+def spelled(key: np.ndarray, w: int) -> pa.Array:
+    """The words of ``key`` as strings."""
+    h, l = parts_of(key, w)
+    letters = _LETTERS[bases(signed(h), signed(l), w)]
+    return pa.StringArray.from_buffers(len(key), pa.py_buffer((np.arange(len(key) + 1) * w).astype(np.int32)), pa.py_buffer(letters.tobytes()))
+
+
+#: The bit of a base in half a mask; none for a gap.
+_BIT = np.array([1, 2, 4, 8, 0], np.uint8)
+
+
+def neighbours(text: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the canonical k-mers of a text, and as masks the bases that follow them.
+
+    Bits 0 to 3 stand for A, C, G, T behind the canonical form, bits 4 to 7 behind the other strand. A
+    palindrome has what follows on both strands in both halves.
+    """
+    codes = _CODES[np.frombuffer(text, np.uint8)]
+    h, l, turned, same, good = windows(text, k)
+    n = len(good)
+    if not n:
+        return keys(h, l, k), np.zeros(0, np.uint8)
+    after = _BIT[np.r_[codes[k:], np.uint8(4)]][good]
+    before = np.r_[np.uint8(4), codes[: n - 1]]
+    before = _BIT[np.where(before < 4, 3 - before, 4)][good]
+    turned, same = turned[good], same[good]
+    mask = np.where(turned, after << 4 | before, before << 4 | after)
+    mask = np.where(same, mask | mask << 4 | mask >> 4, mask)
+    return keys(h[good], l[good], k), mask
+
+
+def merged(key: np.ndarray, mask: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, each with all bits of its masks."""
+    if 2 * k + 8 <= 64:
+        both = key << np.uint64(8) | mask
+        both.sort()
+        key, mask = both >> np.uint64(8), both.astype(np.uint8)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, mask = key[order], mask[order]
+    if not len(key):
+        return key, mask
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[first], np.bitwise_or.reduceat(mask, first)
+
+
+def words_after(key: np.ndarray, mask: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of canonical k-mers and masks ``(rev, index, word, first, last)``: the canonical (k+1)-mers on from both strands.
+
+    ``first``: the strand of the k-mer begins the canonical word; ``last``: its other strand ends it. A
+    palindrome counts once.
+    """
+    pair = parts_of(key, k)
+    turned = other_strand(*pair, k)
+    same = (pair[0] == turned[0]) & (pair[1] == turned[1])
+    for rev in (0, 1):
+        h, l = turned if rev else pair
+        bits = np.where(same, 0, mask >> 4) if rev else mask
+        for b in range(4):
+            at = np.flatnonzero(bits >> b & 1)
+            word = (h[at] << np.uint64(2) | l[at] >> np.uint64(62), l[at] << np.uint64(2) | np.uint64(b))
+            if k < 32:
+                word = np.zeros(len(at), np.uint64), word[1]
+            other = other_strand(*word, k + 1)
+            last = ~less(word, other)
+            first = ~less(other, word)
+            out = np.where(first, word[0], other[0]), np.where(first, word[1], other[1])
+            yield rev, at, keys(*out, k + 1), first, last
+
+
+def ends_of(word: np.ndarray, k: int) -> tuple[tuple, tuple]:
+    """Of (k+1)-mers the k-mers at both ends, each as ``(key as read, key of the other strand)``."""
+    h, l = parts_of(word, k + 1)
+    low = np.uint64((1 << 64) - 1 if k >= 32 else (1 << 2 * k) - 1)
+    high = np.uint64(0 if k <= 32 else (1 << 2 * (k - 32)) - 1)
+    head = h >> np.uint64(2), (l >> np.uint64(2) | h << np.uint64(62)) & low
+    tail = h & high, l & low
+    return tuple((keys(*x, k), keys(*other_strand(*x, k), k)) for x in (head, tail))
 
 
 def placed_kmers(table: DataFrame, k: int) -> DataFrame:

@@ -2,56 +2,132 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandloom.functions.packed import distinct_words, halves, is_palindrome, kmer_text
+from strandloom.functions import blobs
+from strandloom.functions.packed import ends_of, joined, keys, merged, neighbours, other_strand, parts_of, signed, spelled, unsigned, words_after
 from strandloom.functions.seq import check_k, oriented, rc, runs
-from strandloom.operators.model import Graph, dense_rank_of
-from strandloom.plans.runtime import cut, ready
+from strandloom.operators.model import Graph
+from strandloom.plans.runtime import cut, discard, ready
 
 #: Bases of a path that are spelled in one row, about.
 CHUNK = 1 << 14
 #: Steps whose lengths are summed up in one row of the prefix table.
 BLOCK = 1 << 12
+#: Windows of texts that one part of the k-mers stands for, about.
+PART = 3 << 20
+#: Windows that are put in order at once while texts are cut.
+FLUSH = 1 << 22
+#: Sampled k-mers for each part, about.
+SAMPLES = 200
+
+
+def word_part(bounds: np.ndarray, word: np.ndarray, k: int) -> np.ndarray:
+    """The parts that (k+1)-mers belong to."""
+    (head, _), _ = ends_of(word, k)
+    return np.searchsorted(bounds, head, "right")
 
 
 class DeBruijn:
     """nodes(node_id, kmer) and edges(edge_idx, kmer1, from_id, from_rev, to_id, to_rev, overlap), ids by sorted rank.
 
-    k-mers are held as pairs of longs (``packed``: node_id, h, l, palindrome) and spelled when they are asked
-    for. Edges are numbered and looked up when they are first asked for.
+    k-mers lie in parts by range, in order, each with a mask of the bases that follow it on both strands
+    (``held``); ids are places in that order. (k+1)-mers are named by these masks and go to the part where
+    their first k bases would be, each from both of its ends, so that ids meet without being looked up.
     """
 
-    def __init__(self, k: int, words: DataFrame):
-        """``words`` (h, l, short): distinct (k+1)-mers, and k-mers that no (k+1)-mer holds."""
-        self.k = k
-        self._words = cut(halves(words.where("not short").select("h", "l"), k), "kmer1")
-        either = self._words.select(F.explode(F.array(*(F.struct(F.col(f"{x}h").alias("h"), F.col(f"{x}l").alias("l"), F.col(f"{x}pal").alias("palindrome")) for x in "ab"))).alias("x")).select("x.*")
-        alone = words.where("short").select("h", "l", is_palindrome(k).alias("palindrome"))
-        distinct = either.union(alone).distinct().withColumn("key", F.struct("h", "l"))
-        self.packed = dense_rank_of(distinct, "key", "node_id").select("node_id", "h", "l", "palindrome")
+    def __init__(self, k: int, held: DataFrame, bounds: np.ndarray):
+        self.k, self.held, self.bounds = k, held, bounds
+        self.parts = len(bounds) + 1
+        self.starts = blobs.starts_of(held, self.parts)
+
+    @cached_property
+    def packed(self) -> DataFrame:
+        """``(node_id, h, l, palindrome)``: k-mers as signed longs."""
+        k, starts = self.k, self.starts
+
+        def rows(part, columns):
+            for s in blobs.slices(len(columns[0])):
+                pair = parts_of(columns[0][s], k)
+                other = other_strand(*pair, k)
+                yield [pa.array(np.arange(s.start, s.stop) + starts[part]), pa.array(signed(pair[0])), pa.array(signed(pair[1])), pa.array((pair[0] == other[0]) & (pair[1] == other[1]))]
+
+        return blobs.each_row(self.held, "node_id long, h long, l long, palindrome boolean", rows)
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return self.packed.select("node_id", kmer_text(self.k).alias("kmer"))
+        k, starts = self.k, self.starts
+
+        def rows(part, columns):
+            for s in blobs.slices(len(columns[0])):
+                yield [pa.array(np.arange(s.start, s.stop) + starts[part]), spelled(columns[0][s], k)]
+
+        return blobs.each_row(self.held, "node_id long, kmer string", rows)
+
+    def _words(self, ids: bool) -> DataFrame:
+        """(k+1)-mers by part, in order; with the node ids of both ends, or alone."""
+        k, starts, bounds = self.k, self.starts, self.bounds
+
+        def out(batches):
+            for b in batches:
+                for part, data in zip(b.column("part").to_pylist(), b.column("data").to_pylist(), strict=True):
+                    found = list(words_after(*blobs.unpack(data), k))
+                    for end in range(1 + ids):
+                        word, at = (np.concatenate([x[c][x[3 + end]] for x in found]) for c in (2, 1))
+                        order = np.argsort(word, kind="stable")
+                        word, at = word[order], at[order] + starts[part]
+                        yield from blobs.deal(end, word_part(bounds, word, k), word, *([at] if ids else []))
+
+        def own(part, kinds):
+            word, *at = kinds[0]
+            order = np.argsort(word, kind="stable")
+            columns = [word[order], *(a[order] for a in at)]
+            if ids:
+                columns.append(kinds[1][1][np.argsort(kinds[1][0], kind="stable")])
+            yield part, 0, len(word), blobs.pack(*columns)
+
+        return blobs.each_part(blobs.each_batch(self.held, out), self.parts, own)
 
     @cached_property
-    def links(self) -> DataFrame:
-        """``(edge_idx, h, l, from_id, from_rev, to_id, to_rev)``: both ends of each (k+1)-mer, looked up by canonical form."""
-        ranked = dense_rank_of(self._words.withColumn("key", F.struct("h", "l")), "key", "edge_idx")
-        one, two = (self.packed.select(F.col("h").alias(f"{x}h"), F.col("l").alias(f"{x}l"), F.col("node_id").alias(to)) for x, to in (("a", "from_id"), ("b", "to_id")))
-        return cut(ranked.join(one, ["ah", "al"]).join(two, ["bh", "bl"]).select("edge_idx", "h", "l", "from_id", "from_rev", "to_id", "to_rev"), "dbgedges")
+    def words(self) -> DataFrame:
+        """``(edge_idx, kmer1)`` alone."""
+        k, held = self.k, cut(self._words(False), "dbgwords")
+        starts = blobs.starts_of(held, self.parts)
+
+        def rows(part, columns):
+            for s in blobs.slices(len(columns[0])):
+                yield [pa.array(np.arange(s.start, s.stop) + starts[part]), spelled(columns[0][s], k + 1)]
+
+        return blobs.each_row(held, "edge_idx long, kmer1 string", rows)
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self.links.select("edge_idx", kmer_text(self.k + 1).alias("kmer1"), "from_id", "from_rev", "to_id", "to_rev", F.lit(self.k - 1).cast("long").alias("overlap"))
+        k, held = self.k, cut(self._words(True), "dbgedges")
+        starts = blobs.starts_of(held, self.parts)
+
+        def rows(part, columns):
+            for s in blobs.slices(len(columns[0])):
+                word, a, b = (c[s] for c in columns)
+                (head, head2), (tail, tail2) = ends_of(word, k)
+                yield [pa.array(np.arange(s.start, s.stop) + starts[part]), spelled(word, k + 1), pa.array(a), pa.array(head2 < head), pa.array(b), pa.array(tail2 < tail), pa.array(np.full(len(word), k - 1))]
+
+        return blobs.each_row(held, "edge_idx long, kmer1 string, from_id long, from_rev boolean, to_id long, to_rev boolean, overlap long", rows)
 
     def counts(self) -> DataFrame:
-        return self.packed.agg(F.count("*").alias("nodes")).crossJoin(self._words.agg(F.count("*").alias("edges")))
+        k = self.k
+
+        def rows(part, columns):
+            yield [pa.array([len(columns[0])]), pa.array([sum(int(first.sum()) for *_, first, _ in words_after(*columns, k))])]
+
+        made = blobs.each_row(self.held, "nodes long, edges long", rows)
+        return made.agg(F.coalesce(F.sum("nodes"), F.lit(0)).alias("nodes"), F.coalesce(F.sum("edges"), F.lit(0)).alias("edges"))
 
     def path_count(self) -> int:
         """A graph without colours has no paths."""
@@ -119,14 +195,56 @@ def path_node_sequences(g: Graph) -> DataFrame:
     return g.steps.join(g.nodes.select("node_id", "seq"), "node_id").select("path_idx", "pos", F.when(F.col("is_rev"), rc_iupac("seq")).otherwise(F.col("seq")).alias("seq"))
 
 
-def from_texts(texts: DataFrame, text: str, k: int) -> DeBruijn:
-    """The graph of all gap-free k-mers of a column of texts.
+def _bounds(texts: DataFrame, k: int) -> np.ndarray:
+    """Keys that part the k-mers of ``texts`` (run binary) into ranges of about ``PART`` windows, by a sample of them."""
+    total = texts.agg(F.coalesce(F.sum(F.length("run")), F.lit(0)).alias("n")).first()["n"]
+    parts = -(-total // PART)
+    if parts < 2:
+        return neighbours(b"", k)[0]
+    wanted = parts * SAMPLES
+    part = min(1.0, 64 * wanted / total)
+    step = max(1, int(total * part / wanted))
 
-    Only (k+1)-mers are cut out of the texts; the k-mers are their two halves, taken after the distinct, and
-    runs of exactly k bases.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in joined(b.column(0).to_pylist()):
+                pair = parts_of(neighbours(text, k)[0][step // 2 :: step], k)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(x)) for x in pair], names=["h", "l"])
+
+    found = (texts.sample(part, 1) if part < 1 else texts).mapInArrow(run, "h long, l long").toArrow()
+    key = np.unique(keys(*(unsigned(found.column(c).to_numpy()) for c in ("h", "l")), k))
+    return np.unique(key[np.linspace(0, len(key), parts + 1).astype(np.int64)[1:-1]]) if len(key) else key
+
+
+def from_texts(texts: DataFrame, text: str, k: int) -> DeBruijn:
+    """The graph of all gap-free k-mers of a column of texts."""
     ready(texts.sparkSession)
-    return DeBruijn(k, cut(distinct_words(texts, text, k), "words"))
+    texts = cut(texts.select(F.col(text).cast("binary").alias("run")), "runs")
+    bounds = _bounds(texts, k)
+
+    def flush(found):
+        key, mask = merged(*(np.concatenate(c) for c in zip(*found, strict=True)), k)
+        return blobs.deal(0, np.searchsorted(bounds, key, "right"), key, mask)
+
+    def out(batches):
+        found, size = [], 0
+        for b in batches:
+            for data in joined(b.column(0).to_pylist()):
+                found.append(neighbours(data, k))
+                size += len(found[-1][0])
+                if size >= FLUSH:
+                    yield from flush(found)
+                    found, size = [], 0
+        if found:
+            yield from flush(found)
+
+    def own(part, kinds):
+        key, mask = merged(*kinds[0], k)
+        yield part, 0, len(key), blobs.pack(key, mask)
+
+    held = cut(blobs.each_part(blobs.each_batch(texts, out), len(bounds) + 1, own), "kmers")
+    discard(texts)
+    return DeBruijn(k, held, bounds)
 
 
 def from_paths(g: Graph, k: int) -> DeBruijn:
