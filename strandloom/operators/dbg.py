@@ -157,14 +157,23 @@ def spelled_steps(g: Graph) -> DataFrame:
     return met.select("path_idx", "pos", oriented("seq", "is_rev", skip).alias("piece"))
 
 
+def _all_short(g: Graph, size: int) -> bool:
+    """Whether no path can have more than ``size`` bases."""
+    steps, bases = g.steps.agg(F.max("pos")).first()[0], g.nodes.agg(F.max(F.length("seq"))).first()[0]
+    return steps is None or (steps + 1) * (bases or 0) <= size
+
+
 def spelled_chunks(g: Graph, context: int) -> DataFrame:
     """``(path_idx, chunk, ctx, text)``: paths in pieces of about ``CHUNK`` bases, each with up to ``context`` bases before it.
 
     Base offsets are prefix sums in two levels (blocks of steps, then inside a block), so a path of any
-    length is spelled by many tasks. Of two neighbouring chunks at least one is long, hence the last two
-    hold all context needed.
+    length is spelled by many tasks; paths that are all short are spelled whole. Of two neighbouring chunks
+    at least one is long, hence the last two hold all context needed.
     """
     size = max(CHUNK, 4 * context)
+    g = g.with_(steps=cut(g.steps, "steps"))
+    if _all_short(g, size):
+        return spelled_paths(g).where("seq <> ''").select("path_idx", F.lit(0).cast("long").alias("chunk"), F.lit("").alias("ctx"), F.col("seq").alias("text"), F.lit(0).cast("long").alias("start"))
     pieces = spelled_steps(g).withColumn("b", F.expr(f"pos div {BLOCK}"))
     blocks = pieces.groupBy("path_idx", "b").agg(F.sum(F.length("piece")).alias("n"))
     before = blocks.select("path_idx", "b", F.coalesce(F.sum("n").over(W.partitionBy("path_idx").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("at"))

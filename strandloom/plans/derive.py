@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.operators.links import canonical_link
-from strandloom.operators.model import Graph, dense_rank_of
+from strandloom.operators.model import Graph, dense_rank_of, rank_in_lots
 from strandloom.plans.runtime import table
 
 HEX, DNA = "0123456789abcdef", "ACGT" * 4
 LETTERS, LETTER_DNA = "abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26]
+#: Bytes of a table that make one partition.
+SHARE = 4 << 20
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_shipdate", "l_extendedprice"]
 
 VIEWS = f"""
@@ -23,9 +25,36 @@ edges AS (SELECT CAST(row_number() OVER (ORDER BY from_node, from_rev, to_node,
 """
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Partitions for the rows of a table: they grow with it, so that a task's share does not."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return max(spark.sparkContext.defaultParallelism, -(-size // SHARE))
+
+
+def order_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path_idx, w)``: the line items of each order as one array, in order. All else of paths is read off it in place."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER).repartition(spread(spark, sf_dir, "lineitem"), "l_orderkey")
+    return items.groupBy(F.col("l_orderkey").alias("path_idx")).agg(F.array_sort(F.collect_list(F.struct(*LINE_ORDER))).alias("w"))
+
+
+def _lap(x: Column) -> Column:
+    return x["l_quantity"].cast("long") % 4
+
+
 def order_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = W.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path_idx"), (F.row_number().over(w) - 1).cast("long").alias("pos"), F.col("l_partkey").alias("node_id"), (F.col("l_returnflag") == "R").alias("is_rev"), (F.col("l_quantity").cast("long") % 4).alias("lap"), "l_quantity")
+    x = F.col("x")
+    each = order_walks(spark, sf_dir).select("path_idx", F.posexplode("w").alias("p", "x"))
+    return each.select("path_idx", F.col("p").cast("long").alias("pos"), x["l_partkey"].alias("node_id"), (x["l_returnflag"] == "R").alias("is_rev"), _lap(x).alias("lap"), x["l_quantity"].alias("l_quantity"))
+
+
+def order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`step_pairs` of the orders, from neighbours in their arrays."""
+    end = lambda x, y: [x["l_partkey"].alias(f"{y}_node"), (x["l_returnflag"] == "R").alias(f"{y}_rev")]
+    both = F.transform("w", lambda x, i: F.struct(x.alias("a"), F.get("w", i + 1).alias("b")))
+    met = order_walks(spark, sf_dir).select("path_idx", F.posexplode(both).alias("p", "x")).where("x.b is not null")
+    a, b = F.col("x.a"), F.col("x.b")
+    return met.select("path_idx", F.col("p").cast("long").alias("pos"), *end(a, "from"), *end(b, "to"), _lap(b).alias("lap"), a["l_quantity"].alias("q1"), b["l_quantity"].alias("q2"))
 
 
 def step_pairs(steps: DataFrame) -> DataFrame:
@@ -40,19 +69,21 @@ def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Parts are nodes, orders are paths, line items are steps; links are the neighbours on paths."""
-    steps = order_steps(spark, sf_dir)
-    laps = F.transform(F.filter(F.array_sort(F.collect_list(F.struct("pos", "lap"))), lambda x: x["pos"] > 0), lambda x: x["lap"])
-    paths = steps.groupBy("path_idx").agg(laps.alias("overlaps")).select("path_idx", F.concat(F.lit("o"), F.col("path_idx").cast("string")).alias("name"), "overlaps")
-    links = step_pairs(steps).groupBy("from_node", "from_rev", "to_node", "to_rev").agg(F.min("lap").alias("overlap"))
-    key = F.format_string("%015d%d%015d%d", "from_node", F.col("from_rev").cast("int"), "to_node", F.col("to_rev").cast("int"))
-    edges = dense_rank_of(links.withColumn("key", key), "key", "edge_idx", F.substring("key", 1, 12)).select("edge_idx", "from_node", "from_rev", "to_node", "to_rev", "overlap")
-    return Graph(part_nodes(spark, sf_dir), edges, paths, steps.select("path_idx", "pos", "node_id", "is_rev"))
+    walks = order_walks(spark, sf_dir)
+    laps = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), _lap)
+    paths = walks.select("path_idx", F.concat(F.lit("o"), F.col("path_idx").cast("string")).alias("name"), laps.alias("overlaps"))
+    ends = ["from_node", "from_rev", "to_node", "to_rev"]
+    # a lot's links meet once, for the distinct and for their ranks
+    pairs = order_pairs(spark, sf_dir).select(F.shiftright("from_node", 12).alias("lot"), *ends, "lap").repartition(spread(spark, sf_dir, "lineitem"), "lot")
+    links = pairs.groupBy("lot", *ends).agg(F.min("lap").alias("overlap"))
+    edges = rank_in_lots(links, "lot", ends, "edge_idx", "overlap").select("edge_idx", *ends, "overlap")
+    return Graph(part_nodes(spark, sf_dir), edges, paths, order_steps(spark, sf_dir).select("path_idx", "pos", "node_id", "is_rev"))
 
 
 def sparse_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Links only between neighbours that both have 45 pieces or more: many small components."""
     g = order_graph(spark, sf_dir)
-    pairs = step_pairs(order_steps(spark, sf_dir)).where("q1 >= 45 and q2 >= 45")
+    pairs = order_pairs(spark, sf_dir).where("q1 >= 45 and q2 >= 45")
     edges = pairs.select(F.lit(0).cast("long").alias("edge_idx"), "from_node", "from_rev", "to_node", "to_rev", F.lit(0).cast("long").alias("overlap")).distinct()
     return g.with_(edges=edges)
 
@@ -88,4 +119,4 @@ def event_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(kinds.select("node_id", F.repeat(F.lit("ACGT"), 2).alias("seq"), F.col("event_type").alias("name")), edges, paths, steps.select("path_idx", "pos", "node_id", "is_rev"))
 
 
-__all__ = ["EVENT_VIEW", "TEXT_VIEW", "VIEWS", "canonical_link", "event_graph", "order_graph", "order_steps", "part_nodes", "sparse_graph", "step_pairs", "text_graph"]
+__all__ = ["EVENT_VIEW", "TEXT_VIEW", "VIEWS", "canonical_link", "event_graph", "order_graph", "order_pairs", "order_steps", "order_walks", "part_nodes", "sparse_graph", "step_pairs", "text_graph"]
