@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.operators.links import canonical_link
-from strandloom.operators.model import Graph, dense_rank_of, rank_in_lots
-from strandloom.plans.runtime import table
+from strandloom.operators.model import EDGES, PATHS, STEPS, Graph, dense_rank_of, rank_in_lots
+from strandloom.plans.runtime import cut, table
 
 HEX, DNA = "0123456789abcdef", "ACGT" * 4
 LETTERS, LETTER_DNA = "abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26]
@@ -33,28 +33,27 @@ def spread(spark: SparkSession, sf_dir: str, name: str) -> int:
 
 
 def order_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(path_idx, w)``: the line items of each order as one array, in order. All else of paths is read off it in place."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER).repartition(spread(spark, sf_dir, "lineitem"), "l_orderkey")
-    return items.groupBy(F.col("l_orderkey").alias("path_idx")).agg(F.array_sort(F.collect_list(F.struct(*LINE_ORDER))).alias("w"))
-
+    """``(path_idx, w)``: the line items of each order as one array of (node_id, is_rev, lap, l_quantity), in order.
 
-def _lap(x: Column) -> Column:
-    return x["l_quantity"].cast("long") % 4
+    It is written once, and all else of paths is read off it in place.
+    """
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER).repartition(spread(spark, sf_dir, "lineitem"), "l_orderkey")
+    walks = items.groupBy(F.col("l_orderkey").alias("path_idx")).agg(F.array_sort(F.collect_list(F.struct(*LINE_ORDER))).alias("w"))
+    step = lambda x: F.struct(x["l_partkey"].alias("node_id"), (x["l_returnflag"] == "R").alias("is_rev"), (x["l_quantity"].cast("long") % 4).alias("lap"), x["l_quantity"].alias("l_quantity"))
+    return cut(walks.select("path_idx", F.transform("w", step).alias("w")), "walks")
 
 
-def order_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("x")
-    each = order_walks(spark, sf_dir).select("path_idx", F.posexplode("w").alias("p", "x"))
-    return each.select("path_idx", F.col("p").cast("long").alias("pos"), x["l_partkey"].alias("node_id"), (x["l_returnflag"] == "R").alias("is_rev"), _lap(x).alias("lap"), x["l_quantity"].alias("l_quantity"))
+def order_steps(walks: DataFrame) -> DataFrame:
+    return walks.select("path_idx", F.posexplode("w").alias("p", "x")).select("path_idx", F.col("p").cast("long").alias("pos"), "x.*")
 
 
-def order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_pairs(walks: DataFrame) -> DataFrame:
     """:func:`step_pairs` of the orders, from neighbours in their arrays."""
-    end = lambda x, y: [x["l_partkey"].alias(f"{y}_node"), (x["l_returnflag"] == "R").alias(f"{y}_rev")]
     both = F.transform("w", lambda x, i: F.struct(x.alias("a"), F.get("w", i + 1).alias("b")))
-    met = order_walks(spark, sf_dir).select("path_idx", F.posexplode(both).alias("p", "x")).where("x.b is not null")
+    met = walks.select("path_idx", F.posexplode(both).alias("p", "x")).where("x.b is not null")
     a, b = F.col("x.a"), F.col("x.b")
-    return met.select("path_idx", F.col("p").cast("long").alias("pos"), *end(a, "from"), *end(b, "to"), _lap(b).alias("lap"), a["l_quantity"].alias("q1"), b["l_quantity"].alias("q2"))
+    ends = [x[c].alias(f"{n}_{c.removeprefix('is_').removesuffix('_id')}") for n, x in (("from", a), ("to", b)) for c in ("node_id", "is_rev")]
+    return met.select("path_idx", F.col("p").cast("long").alias("pos"), *ends, b["lap"].alias("lap"), a["l_quantity"].alias("q1"), b["l_quantity"].alias("q2"))
 
 
 def step_pairs(steps: DataFrame) -> DataFrame:
@@ -67,25 +66,34 @@ def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), seq.alias("seq"), F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("name"))
 
 
-def order_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Parts are nodes, orders are paths, line items are steps; links are the neighbours on paths."""
-    walks = order_walks(spark, sf_dir)
-    laps = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), _lap)
+def _graph(spark: SparkSession, sf_dir: str, walks: DataFrame) -> Graph:
+    laps = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x: x["lap"])
     paths = walks.select("path_idx", F.concat(F.lit("o"), F.col("path_idx").cast("string")).alias("name"), laps.alias("overlaps"))
     ends = ["from_node", "from_rev", "to_node", "to_rev"]
     # a lot's links meet once, for the distinct and for their ranks
-    pairs = order_pairs(spark, sf_dir).select(F.shiftright("from_node", 12).alias("lot"), *ends, "lap").repartition(spread(spark, sf_dir, "lineitem"), "lot")
+    pairs = order_pairs(walks).select(F.shiftright("from_node", 12).alias("lot"), *ends, "lap").repartition(spread(spark, sf_dir, "lineitem"), "lot")
     links = pairs.groupBy("lot", *ends).agg(F.min("lap").alias("overlap"))
     edges = rank_in_lots(links, "lot", ends, "edge_idx", "overlap").select("edge_idx", *ends, "overlap")
-    return Graph(part_nodes(spark, sf_dir), edges, paths, order_steps(spark, sf_dir).select("path_idx", "pos", "node_id", "is_rev"))
+    return Graph(part_nodes(spark, sf_dir), edges, paths, order_steps(walks).select("path_idx", "pos", "node_id", "is_rev"))
+
+
+def order_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Parts are nodes, orders are paths, line items are steps; links are the neighbours on paths."""
+    return _graph(spark, sf_dir, order_walks(spark, sf_dir))
 
 
 def sparse_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Links only between neighbours that both have 45 pieces or more: many small components."""
-    g = order_graph(spark, sf_dir)
-    pairs = order_pairs(spark, sf_dir).where("q1 >= 45 and q2 >= 45")
+    walks = order_walks(spark, sf_dir)
+    pairs = order_pairs(walks).where("q1 >= 45 and q2 >= 45")
     edges = pairs.select(F.lit(0).cast("long").alias("edge_idx"), "from_node", "from_rev", "to_node", "to_rev", F.lit(0).cast("long").alias("overlap")).distinct()
-    return g.with_(edges=edges)
+    return _graph(spark, sf_dir, walks).with_(edges=edges)
+
+
+def part_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The nodes of :func:`order_graph` alone."""
+    none = lambda schema: spark.createDataFrame([], schema)
+    return Graph(part_nodes(spark, sf_dir), none(EDGES), none(PATHS), none(STEPS))
 
 
 def text_graph(spark: SparkSession, sf_dir: str) -> Graph:
@@ -119,4 +127,4 @@ def event_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(kinds.select("node_id", F.repeat(F.lit("ACGT"), 2).alias("seq"), F.col("event_type").alias("name")), edges, paths, steps.select("path_idx", "pos", "node_id", "is_rev"))
 
 
-__all__ = ["EVENT_VIEW", "TEXT_VIEW", "VIEWS", "canonical_link", "event_graph", "order_graph", "order_pairs", "order_steps", "order_walks", "part_nodes", "sparse_graph", "step_pairs", "text_graph"]
+__all__ = ["EVENT_VIEW", "TEXT_VIEW", "VIEWS", "canonical_link", "event_graph", "order_graph", "order_pairs", "order_steps", "order_walks", "part_graph", "part_nodes", "sparse_graph", "step_pairs", "text_graph"]
